@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pleonasm import lexicons as L
+from pleonasm.functions.arrays import let
 
 
 def number_value(phrase: Column) -> Column:
@@ -57,23 +58,16 @@ def clock_time(low: Column) -> Column:
     """`9:30 pm` and `nine thirty pm` to `09:30:pm`; other text stays."""
     digits = r"^(\d{1,2}):(\d{2})\s*(am|pm)$"
     words = rf"^({L.NUMBER_PHRASE})\s+(?:oh\s+)?({L.NUMBER_PHRASE})\s*(am|pm)$"
-    hour, minute = number_value(F.regexp_extract(low, words, 1)), number_value(F.regexp_extract(low, words, 2))
-    spelled = F.concat_ws(
-        ":", F.lpad(hour.cast("string"), 2, "0"), F.lpad(minute.cast("string"), 2, "0"), F.regexp_extract(low, words, 3)
-    )
-    return (
-        F.when(
-            low.rlike(digits),
-            F.concat_ws(
-                ":",
-                F.lpad(F.regexp_extract(low, digits, 1), 2, "0"),
-                F.regexp_extract(low, digits, 2),
-                F.regexp_extract(low, digits, 3),
-            ),
-        )
-        .when(low.rlike(words) & (hour <= 23) & (minute <= 59), spelled)
-        .otherwise(low)
-    )
+    two = lambda text: F.lpad(text, 2, "0")
+    part = lambda pattern, i: F.regexp_extract(low, pattern, i)
+    numeric = F.concat_ws(":", two(part(digits, 1)), part(digits, 2), part(digits, 3))
+    clock = F.struct(number_value(part(words, 1)).alias("hour"), number_value(part(words, 2)).alias("minute"))
+
+    def spelled(c: Column) -> Column:
+        text = F.concat_ws(":", two(c["hour"].cast("string")), two(c["minute"].cast("string")), part(words, 3))
+        return F.when((c["hour"] <= 23) & (c["minute"] <= 59), text).otherwise(low)
+
+    return F.when(low.rlike(digits), numeric).when(low.rlike(words), let(clock, spelled)).otherwise(low)
 
 
 def money_amount(low: Column) -> Column:
@@ -98,34 +92,44 @@ def measure_amount(low: Column) -> Column:
     return F.when(low.rlike(shape), F.concat_ws(":", plain_number(F.regexp_extract(low, shape, 1)), unit)).otherwise(low)
 
 
-def canonical_value(kind: Column, value: Column) -> Column:
+_CANONICAL = {
+    "date": iso_date,
+    "time": clock_time,
+    "money": money_amount,
+    "percentage": percent_amount,
+    "measurement": measure_amount,
+    "number": plain_number,
+}
+
+
+def canonical_value(kind: Column | str, value: Column) -> Column:
     """One form for equal values of the kinds that can be written in several ways."""
     low = F.trim(F.replace(F.lower(value), F.lit(","), F.lit("")))
-    return (
-        F.when(kind == "date", iso_date(low))
-        .when(kind == "time", clock_time(low))
-        .when(kind == "money", money_amount(low))
-        .when(kind == "percentage", percent_amount(low))
-        .when(kind == "measurement", measure_amount(low))
-        .when(kind == "number", plain_number(low))
-        .otherwise(value)
-    )
+    if isinstance(kind, str):
+        return let(low, _CANONICAL[kind]) if kind in _CANONICAL else value
+
+    def by_kind(v: Column) -> Column:
+        chain = F
+        for name, canonical in _CANONICAL.items():
+            chain = chain.when(kind == name, canonical(v))
+        return chain.otherwise(value)
+
+    return F.when(kind.isin(list(_CANONICAL)), let(low, by_kind)).otherwise(value)
 
 
 def light_fact_key(value: Column) -> Column:
     """`percent:83`, `measure:12:ms`, `duration:5:minute`, or `raw:` and the text."""
-    low = F.replace(F.lower(value), F.lit(","), F.lit(""))
     number = rf"(\d+(?:\.\d+)?|{L.NUMBER_PHRASE})"
     percent, ms = rf"^{number}\s*(?:%|percent)$", rf"^{number}\s*(?:ms|milliseconds)$"
     span = rf"^{number}\s*(second|minute|hour|day)s?$"
-    return (
-        F.when(low.rlike(percent), F.concat(F.lit("percent:"), plain_number(F.regexp_extract(low, percent, 1))))
-        .when(low.rlike(ms), F.concat(F.lit("measure:"), plain_number(F.regexp_extract(low, ms, 1)), F.lit(":ms")))
-        .when(
-            low.rlike(span),
-            F.concat(
-                F.lit("duration:"), plain_number(F.regexp_extract(low, span, 1)), F.lit(":"), F.regexp_extract(low, span, 2)
-            ),
+
+    def key(low: Column) -> Column:
+        amount = lambda pattern: plain_number(F.regexp_extract(low, pattern, 1))
+        return (
+            F.when(low.rlike(percent), F.concat(F.lit("percent:"), amount(percent)))
+            .when(low.rlike(ms), F.concat(F.lit("measure:"), amount(ms), F.lit(":ms")))
+            .when(low.rlike(span), F.concat(F.lit("duration:"), amount(span), F.lit(":"), F.regexp_extract(low, span, 2)))
+            .otherwise(F.concat(F.lit("raw:"), value))
         )
-        .otherwise(F.concat(F.lit("raw:"), value))
-    )
+
+    return let(F.replace(F.lower(value), F.lit(","), F.lit("")), key)

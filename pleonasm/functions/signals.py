@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pleonasm import lexicons as L
 from pleonasm.functions import text as T
+from pleonasm.functions.arrays import let
 from pleonasm.functions.numbers import light_fact_key, number_value
 
 
@@ -101,12 +102,16 @@ def date_role(sentence: Column) -> Column:
 
 def event_subject(subject: Column) -> Column:
     """Normal form of a subject; nine known kinds become `kind:name`."""
-    norm = T.normal_text(F.regexp_replace(T.strip(subject), r"(?i)^(?:the|a|an)\s+", ""))
-    cases = []
-    for kind in L.SUBJECT_KINDS:
-        cases.append((F.startswith(norm, F.lit(kind + " ")), F.concat(F.lit(kind + ":"), F.substring(norm, len(kind) + 2, 1 << 30))))
-        cases.append((F.endswith(norm, F.lit(" " + kind)), F.concat(F.lit(kind + ":"), F.regexp_replace(norm, f" {kind}$", ""))))
-    return T.first_match(cases, norm)
+    def tagged(norm: Column) -> Column:
+        cases = []
+        for kind in L.SUBJECT_KINDS:
+            name_after = F.substring(norm, len(kind) + 2, 1 << 30)
+            name_before = F.regexp_replace(norm, f" {kind}$", "")
+            cases.append((F.startswith(norm, F.lit(kind + " ")), F.concat(F.lit(kind + ":"), name_after)))
+            cases.append((F.endswith(norm, F.lit(" " + kind)), F.concat(F.lit(kind + ":"), name_before)))
+        return T.first_match(cases, norm)
+
+    return let(T.normal_text(F.regexp_replace(T.strip(subject), r"(?i)^(?:the|a|an)\s+", "")), tagged)
 
 
 def event_values(sentence: Column) -> Column:

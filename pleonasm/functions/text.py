@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pleonasm import lexicons as L
+from pleonasm.functions.arrays import let
 from pleonasm.functions.numbers import number_value
 
 SPLIT_TERMINAL = r"(?<=[.!?])\s+"
@@ -46,11 +47,22 @@ def sentences(text: Column, pattern: str = SPLIT_TERMINAL_OR_LINE) -> Column:
     return F.filter(pieces, lambda piece: piece != "")
 
 
+def complete_sentences(text: Column) -> Column:
+    """Sentences that end with a mark or with the text, as they stand on one line.
+
+    A line that stops without a mark is no sentence unless the text ends there. The text is cut after
+    each mark and the last line of a piece is kept, which is linear in the length of the text; a
+    search for "anything up to a mark" would be quadratic on a long line without one.
+    """
+    pieces = F.split(F.regexp_replace(text, r"\n\z", ""), r"(?<=[.!?])(?=\s)")
+    last_lines = F.transform(pieces, lambda p: strip(F.substring_index(p, "\n", -1)))
+    return F.filter(last_lines, lambda s: s != "")
+
+
 def matched_sentences(text: Column, min_words: int) -> Column:
-    """Sentences that end with a mark or with the text, of at least `min_words`, free of placeholders."""
-    found = F.transform(find_all(text, L.SENTENCE_MATCH), strip)
+    """Complete sentences of at least `min_words` that hold no placeholder."""
     return F.filter(
-        found, lambda s: (word_count(s) >= min_words) & ~F.contains(s, F.lit("__PROTECTED_"))
+        complete_sentences(text), lambda s: (word_count(s) >= min_words) & ~F.contains(s, F.lit("__PROTECTED_"))
     )
 
 
@@ -67,7 +79,7 @@ def bare_words(text: Column) -> Column:
 def normal_text(text: Column) -> Column:
     """Comparison key: number words and units in one form, punctuation dropped."""
     low = F.regexp_replace(F.lower(text), rf"\b({L.NUMBER_PHRASE})\s*milliseconds\b", "$1 ms")
-    low = _digits_for_words(low)
+    low = let(low, _digits_for_words)
     low = F.regexp_replace(low, r"(?<=[a-z])-(?=[a-z])", " ")
     low = F.regexp_replace(low, r"\b(were|was)\s+migrated\s+successfully\b", "$1 migrated")
     low = F.regexp_replace(low, r"\b(\d+(?:\.\d+)?)\s+percent\b", "$1%")
@@ -81,24 +93,24 @@ def _digits_for_words(low: Column) -> Column:
     Texts without a number word skip the work.
     """
     phrase = rf"\b{L.NUMBER_PHRASE}\b"
-    gaps = F.split(low, phrase)
     values = F.transform(find_all(low, phrase), lambda p: number_value(p).cast("string"))
-    joined = F.array_join(
-        F.zip_with(gaps, values, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit("")))), ""
-    )
-    return F.when(low.rlike(phrase), joined).otherwise(low)
+    joined = F.zip_with(F.split(low, phrase), values, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
+    return F.when(low.rlike(phrase), F.array_join(joined, "")).otherwise(low)
 
 
 def render_list(items: Column, word: str = "and") -> Column:
     """`a`, `a and b`, `a, b, and c`."""
-    size = F.size(items)
-    head = F.array_join(F.slice(items, 1, F.greatest(size - 1, F.lit(1))), ", ")
-    last = F.try_element_at(items, F.lit(-1))
-    return (
-        F.when(size <= 1, F.array_join(items, ""))
-        .when(size == 2, F.array_join(items, f" {word} "))
-        .otherwise(F.concat(head, F.lit(f", {word} "), last))
-    )
+
+    def render(xs: Column) -> Column:
+        size = F.size(xs)
+        head = F.array_join(F.slice(xs, 1, F.greatest(size - 1, F.lit(1))), ", ")
+        return (
+            F.when(size <= 1, F.array_join(xs, ""))
+            .when(size == 2, F.array_join(xs, f" {word} "))
+            .otherwise(F.concat(head, F.lit(f", {word} "), F.try_element_at(xs, F.lit(-1))))
+        )
+
+    return let(items, render)
 
 
 def any_word(words) -> str:

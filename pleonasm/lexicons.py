@@ -32,17 +32,14 @@ WORD_TOKEN = r"__PROTECTED_\d+__|[A-Za-z0-9][A-Za-z0-9'-]*"
 TOKEN_FACTOR = 1.15
 MESSAGE_OVERHEAD = 4
 
-# Sentence that runs to its end mark or to the end of the text. Needs look-ahead.
-SENTENCE_MATCH = r"(?d)[^\s\n].*?(?:[.!?](?=\s+|\s*$)|$)"
-
 # --- typed facts, applied in this order; an earlier kind hides its text from the later ones ------
-# latex and equation need look-around.
+# equation needs look-ahead; json_block uses possessive runs so that it cannot backtrack.
 
 FACT_PATTERNS = (
     ("fenced_code", r"```[\s\S]*?```"),
     ("inline_code", r"`[^`\n]+`"),
-    ("latex", r"\$(?!\d)[^$\n]+(?<!\d)\$"),
-    ("json_block", r"(?s)(?:\{(?:[^{}]|(?:\{[^{}]*\}))*\}|\[(?:[^\[\]]|(?:\[[^\[\]]*\]))*\])"),
+    ("latex", r"\$(?:[^$\n0-9]|[^$\n0-9][^$\n]*[^$\n0-9])\$"),
+    ("json_block", r"\{(?:[^{}]++|\{[^{}]*\})*+\}|\[(?:[^\[\]]++|\[[^\[\]]*\])*+\]"),
     ("xml_html", r"<[A-Za-z][^>]*>[\s\S]*?</[A-Za-z][^>]*>"),
     ("url", r"https?://[^\s)>\"]+"),
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),

@@ -65,7 +65,7 @@ def keep_first_across(sentences: DataFrame, order: list[str], sentence: str = "s
 
 def repeated_sentences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Later copies of a sentence of three words or more in the same text, with the kept position."""
-    return _later(df, keys, T.find_all(F.col(text), L.SENTENCE_MATCH), 3, "repeated_sentence")
+    return _later(df, keys, T.complete_sentences(F.col(text)), 3, "repeated_sentence")
 
 
 def repeated_paragraphs(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -186,10 +186,6 @@ def most_repeated(sentences: DataFrame, k: int, sentence: str = "sentence", key:
 
 def repeated_ratio(text: Column) -> Column:
     """Share of sentences (three words or more) that repeat another one of the same text."""
-    keys = F.transform(
-        F.filter(T.find_all(text, L.SENTENCE_MATCH), lambda s: T.word_count(s) >= 3), T.bare_words
-    )
-    total = F.size(keys)
-    return F.when(total == 0, F.lit(0.0)).otherwise(
-        F.round((total - F.size(F.array_distinct(keys))) / F.greatest(total, F.lit(1)), 3)
-    )
+    keys = F.transform(F.filter(T.complete_sentences(text), lambda s: T.word_count(s) >= 3), T.bare_words)
+    share = lambda k: F.round((F.size(k) - F.size(F.array_distinct(k))) / F.greatest(F.size(k), F.lit(1)), 3)
+    return A.let(keys, share)

@@ -84,7 +84,7 @@ if __name__ == "__main__":
         try:
             problem = compare(spark, con, folder, item)
         except Exception as error:  # noqa: BLE001 - report and go on
-            problem = f"{type(error).__name__}: {str(error)[:600]}"
+            problem = f"{type(error).__name__}: {str(error).split(chr(10)+chr(9)+'at ')[0][:500]}"
         bad += problem is not None
         kind = "rows" if item.sql is None else "sql"
         print(f"{'ok  ' if problem is None else 'BAD '} {name} [{','.join(item.covers)}] {kind} {time.time() - started:.1f}s" + (f"  {problem}" if problem else ""), flush=True)
