@@ -47,4 +47,4 @@ def load() -> dict[str, Query]:
     return REGISTRY
 
 
-MODULES = ("corpus", "reports", "extraction")
+MODULES = ("corpus", "reports", "extraction", "framing")

@@ -36,7 +36,8 @@ def _note(t, name: str, **columns):
     return t.derived(name).select("prompt_id", "pos", *[c.alias(n) for n, c in columns.items()])
 
 
-_SENTENCE = F.col("sentence")
+def _sentence() -> F.Column:
+    return F.col("sentence")
 
 # --- facts ----------------------------------------------------------------------------------------------
 
@@ -121,7 +122,7 @@ def masked_texts(t):
     back = facts.restored(F.col("masked"), F.col("regions"))
     # A date written twice in two ways shares one placeholder and comes back in its first form.
     return masked.select(
-        "prompt_id", "pos", "masked", F.size("regions").alias("regions"), (back == _SENTENCE).alias("restored_exactly")
+        "prompt_id", "pos", "masked", F.size("regions").alias("regions"), (back == _sentence()).alias("restored_exactly")
     )
 
 
@@ -140,7 +141,7 @@ _SENSITIVE = _cases(
 
 @query("C4", "I3", sql=f"SELECT {_ID}, array_to_string(list_sort(list_distinct({_SENSITIVE})), '|') AS facts FROM orders")
 def sensitive_facts(t):
-    pairs = F.transform(facts.sensitive_facts(_SENTENCE), lambda f: F.concat_ws("=", f["kind"], f["value"]))
+    pairs = F.transform(facts.sensitive_facts(_sentence()), lambda f: F.concat_ws("=", f["kind"], f["value"]))
     return _note(t, "fact_notes", facts=_joined(pairs))
 
 
@@ -168,7 +169,7 @@ _LIGHT = _cases(
       array_to_string(list_sort(list_filter(keys, lambda x: starts_with(x, 'raw:'))), '|') AS identity_keys FROM k""",
 )
 def light_fact_keys(t):
-    keyed = _note(t, "fact_notes", k=signals.light_fact_keys(_SENTENCE))
+    keyed = _note(t, "fact_notes", k=signals.light_fact_keys(_sentence()))
     return keyed.select(
         "prompt_id", "pos", _joined(F.col("k")).alias("fact_keys"), _joined(signals.identity_keys(F.col("k"))).alias("identity_keys")
     )
@@ -196,8 +197,8 @@ _ROLES = _cases(
 @query("C9", "C14", "C18", sql=f"SELECT {_ID}, {_STATES} AS states, {_RISKS} AS risks, {_ROLES} AS role FROM orders")
 def states_and_risks(t):
     return _note(
-        t, "status_notes", states=_joined(signals.state_signatures(_SENTENCE)), risks=_joined(signals.risk_markers(_SENTENCE)),
-        role=signals.sentence_role(_SENTENCE),
+        t, "status_notes", states=_joined(signals.state_signatures(_sentence())), risks=_joined(signals.risk_markers(_sentence())),
+        role=signals.sentence_role(_sentence()),
     )
 
 
@@ -218,7 +219,7 @@ STATUS_EVENTS = _cases(
 
 @query("C10", "C12", sql=f"SELECT {_ID}, {STATUS_EVENTS} AS events FROM orders")
 def status_events(t):
-    return _note(t, "status_notes", events=_joined(events.event_signatures(_SENTENCE)))
+    return _note(t, "status_notes", events=_joined(events.event_signatures(_sentence())))
 
 
 @query(
@@ -231,8 +232,8 @@ def status_events(t):
 )
 def measured_events(t):
     return _note(
-        t, "fact_notes", events=_joined(events.event_signatures(_SENTENCE)),
-        event_values=F.array_join(signals.event_values(_SENTENCE), "|"),
+        t, "fact_notes", events=_joined(events.event_signatures(_sentence())),
+        event_values=F.array_join(signals.event_values(_sentence()), "|"),
     )
 
 
@@ -266,7 +267,7 @@ def list_events(t):
       "'logged::support::' || CAST(o_orderkey % 9 + 1 AS STRING) || CASE WHEN o_orderkey % 22 < 11 THEN '::billing' ELSE '::login' END || '::other'", "NULL")} AS signature FROM orders""",
 )
 def list_slots(t):
-    return _note(t, "frame_notes", signature=A.let(slots.slot(_SENTENCE), lambda s: F.when(s.isNotNull(), slots.signature(s))))
+    return _note(t, "frame_notes", signature=A.let(slots.slot(_sentence()), lambda s: F.when(s.isNotNull(), slots.signature(s))))
 
 
 # --- tags and fingerprints --------------------------------------------------------------------------------------
@@ -304,7 +305,7 @@ def _notes(t):
     SELECT *, count(*) AS sentences FROM tags GROUP BY ALL""",
 )
 def tag_counts(t):
-    s = _SENTENCE
+    s = _sentence()
     tags = {
         "polarity": signals.cluster_polarity(s), "cluster_modality": signals.cluster_modality(s),
         "family_modality": signals.family_modality(s), "proposition_modality": signals.proposition_modality(s),
@@ -320,7 +321,7 @@ _ASCII_SENT = f"sent AS ({S.rows('documents', 'doc_id', S.sentences('text'), 'se
 
 def _ascii_sentences(t):
     """Sentences in plain ASCII: the check engine knows no other word boundaries."""
-    return rows.sentence_rows(t.documents, ["doc_id"]).filter(~_SENTENCE.rlike(r"[^\x00-\x7F]"))
+    return rows.sentence_rows(t.documents, ["doc_id"]).filter(~_sentence().rlike(r"[^\x00-\x7F]"))
 
 
 def _entity_sql(expression: str) -> str:
@@ -335,8 +336,8 @@ def _entity_sql(expression: str) -> str:
 )
 def sentence_entities(t):
     return _ascii_sentences(t).select(
-        "doc_id", "pos", F.array_join(signals.named_entities(_SENTENCE), "|").alias("entities"),
-        F.array_join(signals.cluster_entities(_SENTENCE), "|").alias("cluster_entities"),
+        "doc_id", "pos", F.array_join(signals.named_entities(_sentence()), "|").alias("entities"),
+        F.array_join(signals.cluster_entities(_sentence()), "|").alias("cluster_entities"),
     )
 
 
@@ -367,8 +368,8 @@ FAMILY_PRINT = (
 )
 def fingerprints(t):
     return _notes(t).select(
-        "origin", "prompt_id", "pos", F.array_join(signals.cluster_fingerprint(_SENTENCE), " ").alias("cluster_print"),
-        F.array_join(signals.family_fingerprint(_SENTENCE), " ").alias("family_print"),
+        "origin", "prompt_id", "pos", F.array_join(signals.cluster_fingerprint(_sentence()), " ").alias("cluster_print"),
+        F.array_join(signals.family_fingerprint(_sentence()), " ").alias("family_print"),
     )
 
 
@@ -378,7 +379,7 @@ def fingerprints(t):
     SELECT keyword, count(*) AS sentences FROM w GROUP BY keyword""",
 )
 def keyword_counts(t):
-    words = _ascii_sentences(t).select(F.explode(signals.keywords(_SENTENCE)).alias("keyword"))
+    words = _ascii_sentences(t).select(F.explode(signals.keywords(_sentence())).alias("keyword"))
     return words.groupBy("keyword").agg(F.count("*").alias("sentences"))
 
 
@@ -409,8 +410,8 @@ _LOST_AFTER = r"regexp_replace(sentence, '\s(?:at|on|about|for|to) .*$', '.')"
 
 def _rewritten(t, name: str):
     """Notes and a shorter version that loses what follows a preposition."""
-    after = F.regexp_replace(_SENTENCE, r"\s(?:at|on|about|for|to) .*$", ".")
-    return t.derived(name).select("prompt_id", "pos", _SENTENCE.alias("before"), after.alias("after"))
+    after = F.regexp_replace(_sentence(), r"\s(?:at|on|about|for|to) .*$", ".")
+    return t.derived(name).select("prompt_id", "pos", _sentence().alias("before"), after.alias("after"))
 
 
 @query(
@@ -436,7 +437,7 @@ def missing_facts(t):
     SELECT o_custkey AS prompt_id, facts, count(*) AS notes FROM k GROUP BY ALL HAVING count(*) > 1""",
 )
 def equal_fact_sets(t):
-    keyed = _note(t, "fact_notes", facts=_joined(F.transform(facts.cache_facts(_SENTENCE), lambda f: F.concat_ws("=", f["kind"], f["value"]))))
+    keyed = _note(t, "fact_notes", facts=_joined(F.transform(facts.cache_facts(_sentence()), lambda f: F.concat_ws("=", f["kind"], f["value"]))))
     return keyed.groupBy("prompt_id", "facts").agg(F.count("*").alias("notes")).filter("notes > 1")
 
 
@@ -450,7 +451,7 @@ def covered_by_next(t):
     from pyspark.sql import Window
 
     order = Window.partitionBy("prompt_id").orderBy("pos")
-    marked = _note(t, "status_notes", states=signals.state_signatures(_SENTENCE), risks=signals.risk_markers(_SENTENCE))
+    marked = _note(t, "status_notes", states=signals.state_signatures(_sentence()), risks=signals.risk_markers(_sentence()))
     paired = marked.withColumn("ns", F.lead("states").over(order)).withColumn("nr", F.lead("risks").over(order))
     subset = lambda small, large: F.size(F.array_except(small, large)) == 0
     return paired.filter(F.col("ns").isNotNull()).select(
@@ -465,8 +466,8 @@ def covered_by_next(t):
     SELECT prompt_id, pos, CASE WHEN len(e) = 0 THEN 1.0::DOUBLE ELSE round((len(e) - len(missing)) / CAST(len(e) AS DOUBLE), 3) END AS score, array_to_string(list_sort(missing), '|') AS missing FROM m""",
 )
 def entity_preservation(t):
-    after = F.concat(F.lower(F.substring(_SENTENCE, 1, 1)), F.substring(_SENTENCE, 2, 1 << 30))
-    checked = t.derived("status_notes").select("prompt_id", "pos", facts.entity_preservation(_SENTENCE, after).alias("p"))
+    after = F.concat(F.lower(F.substring(_sentence(), 1, 1)), F.substring(_sentence(), 2, 1 << 30))
+    checked = t.derived("status_notes").select("prompt_id", "pos", facts.entity_preservation(_sentence(), after).alias("p"))
     return checked.select("prompt_id", "pos", "p.score", F.array_join("p.missing", "|").alias("missing"))
 
 

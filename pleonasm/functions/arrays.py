@@ -58,3 +58,27 @@ def adjacent_repeats(items: Column) -> Column:
         return F.filter(hits, lambda h: F.when(h["i"] > 0, F.get(xs, h["i"] - 1) == h["value"]).otherwise(F.lit(False)))
 
     return let(items, repeats)
+
+
+# --- literals ------------------------------------------------------------------------------------
+# One parsed expression instead of one call per element: wide literal tables are built often.
+
+
+def _sql(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}L" if isinstance(value, int) else repr(value)
+
+
+def literal_map(table: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items()) + ")")
+
+
+def literal_array(values) -> Column:
+    return F.expr("array(" + ", ".join(_sql(v) for v in values) + ")")
+
+
+def literal_structs(names: tuple[str, ...], rows) -> Column:
+    """Array of structs with string fields `names`."""
+    one = lambda row: "named_struct(" + ", ".join(f"{_sql(n)}, {_sql(v)}" for n, v in zip(names, row)) + ")"
+    return F.expr("array(" + ", ".join(one(row) for row in rows) + ")")

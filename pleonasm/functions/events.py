@@ -28,10 +28,6 @@ def _list_items(text: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def _named(kind: str, items: Column, event: str) -> Column:
-    return F.transform(items, lambda i: _event(F.concat(F.lit(kind + ":"), T.normal_text(i)), F.lit(event)))
-
-
 def list_events(raw: Column) -> Column:
     """Events of sentences that list entities or name one of a fixed kind."""
     listed = F.filter(slots.listed_slots(raw), lambda s: s["predicate"] != "logged")
@@ -39,105 +35,110 @@ def list_events(raw: Column) -> Column:
         raw.rlike(r"(?i),|\s+and\s+"), F.transform(listed, lambda s: _event(slots.slot_subject(s), s["state"]))
     ).otherwise(_empty())
     tail = F.btrim(F.substring_index(raw, ":", -1), F.lit(" ."))
-    prefixed = T.first_match(
-        [(F.startswith(raw, F.lit(p + ":")), _named(kind, _list_items(tail), event)) for p, (event, kind) in L.LIST_EVENT_PREFIXES.items()],
-        _empty(),
-    )
     tables = r"(?i)^(.+?)\s+routing tables were migrated[.]?$"
     routing = F.when(
-        raw.rlike(tables), _named("routing_table", _list_items(F.regexp_extract(raw, tables, 1)), "migrated")
-    ).otherwise(_empty())
-    single = [
-        F.when(raw.rlike(f"(?i){p}"), _event(F.concat(F.lit(kind + ":"), T.normal_text(F.regexp_extract(raw, f"(?i){p}", 1))), F.lit(event)))
-        for p, kind, event in L.ENTITY_EVENT_FORMS
-    ]
-    return F.array_distinct(F.flatten(F.array(rendered, prefixed, routing, F.array_compact(F.array(*single)))))
-
+        raw.rlike(tables),
+        F.struct(
+            F.lit("routing_table").alias("kind"), F.lit("migrated").alias("event"),
+            _list_items(F.regexp_extract(raw, tables, 1)).alias("items"),
+        ),
+    )
+    forms = A.literal_structs(("pattern", "kind", "event"), [(f"(?i){p}", kind, event) for p, kind, event in L.ENTITY_EVENT_FORMS])
+    form = F.transform(
+        F.filter(forms, lambda f: F.rlike(raw, f["pattern"])),
+        lambda f: F.struct(
+            f["kind"].alias("kind"), f["event"].alias("event"),
+            F.array(F.call_function("regexp_extract", raw, f["pattern"], F.lit(1))).alias("items"),
+        ),
+    )
+    prefixes = A.literal_structs(("prefix", "event", "kind"), [(p + ":", event, kind) for p, (event, kind) in L.LIST_EVENT_PREFIXES.items()])
+    prefixed = F.transform(
+        F.filter(prefixes, lambda p: F.startswith(raw, p["prefix"])),
+        lambda p: F.struct(p["kind"].alias("kind"), p["event"].alias("event"), _list_items(tail).alias("items")),
+    )
+    findings = F.concat(prefixed, F.array_compact(F.array(routing)), form)
+    named = F.transform(
+        findings,
+        lambda f: F.transform(f["items"], lambda i: _event(F.concat(f["kind"], F.lit(":"), T.normal_text(i)), f["event"])),
+    )
+    return F.array_distinct(F.concat(rendered, F.flatten(named)))
+
+
+# What is reported and where its subject ends. The first three carry every value of the sentence,
+# the next four the change from the first value to the second.
+_MEASURED = ("started", "reached", "paused")
+_CHANGED = ("decreased", "increased", "dropped", "improved")
+_FLAGGED = r"\s+(?:is|was)\s+(?:also\s+)?flagged\s+for\s+"
+_VERBS = {
+    "started": r"\b(?:started|began)\b",
+    **{verb: rf"\b{verb}\b" for verb in _MEASURED[1:] + _CHANGED},
+    "failed_validation": r"\b(?:failed validation|still fails validation)\b",
+    "flagged_for": _FLAGGED,
+}
+
+
+def _verb_events(raw: Column) -> Column:
+    """Events of the verbs in a sentence; what stands before a verb is its subject."""
+    verbs = A.literal_structs(("verb", "pattern"), [(v, f"(?i){p}") for v, p in _VERBS.items()])
+    found = F.filter(
+        verbs,
+        lambda v: F.rlike(raw, v["pattern"]) & ~((v["verb"] == "flagged_for") & F.contains(F.lower(raw), F.lit("not flagged"))),
+    )
+    flag = T.normal_text(F.regexp_extract(raw, rf"(?i){_FLAGGED}([^.]+)", 1))
 
-def _subject_before(raw: Column, pattern: str) -> Column:
-    """Normal form of what stands before the first match, or null."""
-    head = F.regexp_extract(raw, rf"(?is)^(.*?){pattern}", 1)
-    subject = F.btrim(head, F.lit(" ,.;:"))
-    return F.when(raw.rlike(f"(?i){pattern}") & (subject != ""), signals.event_subject(subject))
+    def of_verb(v: Column, values: Column) -> Column:
+        head = F.substring(raw, F.lit(1), F.regexp_instr(raw, v["pattern"]) - 1)
 
+        def build(subject: Column) -> Column:
+            change = F.concat_ws("->", F.get(values, F.lit(0)), F.get(values, F.lit(1)))
+            details = (
+                F.when(v["verb"].isin(list(_MEASURED)), values)
+                .when(v["verb"].isin(list(_CHANGED)), F.when(F.size(values) >= 2, F.array(change)).otherwise(_empty()))
+                .when(v["verb"] == "flagged_for", F.filter(F.array(flag), lambda x: x != ""))
+            )
+            with_detail = F.transform(details, lambda d: _event(subject, v["verb"], d))
+            return F.when(subject == "", _empty()).otherwise(F.coalesce(with_detail, F.array(_event(subject, v["verb"]))))
 
-def _with_values(raw: Column, values: Column, verb: str, pattern: str) -> Column:
-    def build(subject: Column) -> Column:
-        return F.when(subject.isNotNull(), F.transform(values, lambda v: _event(subject, F.lit(verb), v))).otherwise(_empty())
+        return A.let(signals.event_subject(F.btrim(head, F.lit(" ,.;:"))), build)
 
-    return F.when(raw.rlike(f"(?i){pattern}"), A.let(_subject_before(raw, pattern), build)).otherwise(_empty())
+    all_values = lambda values: F.flatten(F.transform(found, lambda v: of_verb(v, values)))
+    any_verb = "(?i)" + "|".join(_VERBS.values())
+    return F.when(raw.rlike(any_verb), A.let(signals.event_values(raw), all_values)).otherwise(_empty())
 
 
-def _change(raw: Column, values: Column, verb: str) -> Column:
-    """`from->to` of the first two values, for a verb of change; else null."""
-    pattern = rf"\b{verb}\b"
+def _excluded_pool(raw: Column) -> Column:
+    """`excluded` for a note pool kept out of a migration, else null."""
+    pool = T.strip(F.regexp_extract(raw, r"(?is)^(.*?)excluded from migration", 1))
+    pool = F.regexp_replace(F.regexp_replace(pool, r"(?i)^the\s+", ""), r"(?i)\s+(?:is|are|was|were)$", "")
+    name = T.normal_text(F.regexp_replace(pool, r"(?i)\s+note pool$", ""))
+    return A.let(name, lambda n: F.when(n != "", _event(F.concat(F.lit("note_pool:"), n), F.lit("excluded"))))
 
-    def build(subject: Column) -> Column:
-        span = F.concat_ws("->", F.get(values, F.lit(0)), F.get(values, F.lit(1)))
-        return F.when(subject.isNotNull(), _event(subject, F.lit(verb), span))
 
-    return F.when(raw.rlike(f"(?i){pattern}") & (F.size(values) >= 2), A.let(_subject_before(raw, pattern), build))
+def _events_of(raw: Column) -> Column:
+    def build(listed: Column) -> Column:
+        from_slot = lambda s: F.when(s["predicate"] != "logged", _event(slots.slot_subject(s), s["state"]))
+        single = F.when(F.size(listed) == 0, A.let(slots.slot(raw), from_slot))
+        pool = F.when(F.contains(F.lower(raw), F.lit("excluded from migration")), _excluded_pool(raw))
+        statuses = F.when(F.size(listed) == 0, _status_events(raw, F.lower(raw))).otherwise(_empty())
+        return F.concat(listed, F.array_compact(F.array(single, pool)), _verb_events(raw), statuses)
+
+    # A sentence without any of these words reports nothing; most prose stops here.
+    hint = (
+        r"(?i)\b(?:is|was|were|exists|fails|failed|started|began|reached|paused|decreased|increased|dropped|improved"
+        r"|excluded)\b|^Approved\b|^(?:" + "|".join(L.LIST_EVENT_PREFIXES) + "):"
+    )
+    usable = raw.rlike(hint) & ~F.startswith(F.lower(raw), F.lit("do not claim "))
+    return F.when(usable, A.let(list_events(raw), build)).otherwise(_empty())
 
 
 def _sentence_events(sentence: Column) -> Column:
     return A.let(F.btrim(T.strip(sentence), F.lit(".")), _events_of)
 
 
-def _events_of(raw: Column) -> Column:
-    def build(listed: Column) -> Column:
-        low = F.lower(raw)
-        optional = []
-
-        def from_slot(s: Column) -> Column:
-            return F.when(s["predicate"] != "logged", _event(slots.slot_subject(s), s["state"]))
-
-        optional.append(F.when(F.size(listed) == 0, A.let(slots.slot(raw), from_slot)))
-        flag = r"(?i)^(.+?)\s+(?:is|was)\s+(?:also\s+)?flagged\s+for\s+([^.]+)[.]?$"
-        flagged = _event(
-            signals.event_subject(F.regexp_extract(raw, flag, 1)), F.lit("flagged_for"), T.normal_text(F.regexp_extract(raw, flag, 2))
-        )
-        optional.append(F.when(raw.rlike(flag) & ~F.contains(low, F.lit("not flagged")), flagged))
-        failed = r"\b(?:failed validation|still fails validation)\b"
-        optional.append(F.when(raw.rlike(f"(?i){failed}"), A.let(_subject_before(raw, failed), lambda s: F.when(s.isNotNull(), _event(s, F.lit("failed_validation"))))))
-        pool = F.regexp_extract(raw, r"(?is)^(.*?)excluded from migration", 1)
-        pool = F.regexp_replace(T.strip(pool), r"(?i)^the\s+", "")
-        pool = F.regexp_replace(F.regexp_replace(pool, r"(?i)\s+(?:is|are|was|were)$", ""), r"(?i)\s+note pool$", "")
-        excluded = F.when(
-            F.contains(low, F.lit("excluded from migration")) & (pool != ""),
-            _event(F.concat(F.lit("note_pool:"), T.normal_text(pool)), F.lit("excluded")),
-        )
-        optional.append(excluded)
-
-        def valued(values: Column) -> Column:
-            parts = [
-                _with_values(raw, values, "started", r"\b(?:started|began)\b"),
-                _with_values(raw, values, "reached", r"\breached\b"),
-                _with_values(raw, values, "paused", r"\bpaused\b"),
-            ]
-            changes = [_change(raw, values, verb) for verb in ("decreased", "increased", "dropped", "improved")]
-            return F.concat(*parts, F.array_compact(F.array(*changes)))
-
-        moves = r"(?i)\b(?:started|began|reached|paused|decreased|increased|dropped|improved)\b"
-        values = F.when(raw.rlike(moves), A.let(signals.event_values(raw), valued)).otherwise(_empty())
-        return F.concat(
-            listed, F.array_compact(F.array(*optional)), values,
-            F.when(F.size(listed) == 0, _status_events(raw, low)).otherwise(_empty()),
-        )
-
-    usable = (raw != "") & ~F.startswith(F.lower(raw), F.lit("do not claim "))
-    return F.when(usable, A.let(list_events(raw), build)).otherwise(_empty())
-
-
 def _status_events(raw: Column, low: Column) -> Column:
     """All status phrases of a sentence; the subject ends where the first one starts."""
-    spots = F.array_compact(
-        F.array(
-            *[
-                F.when(F.contains(low, F.lit(p)), F.struct(F.instr(low, p).alias("at"), F.lit(e).alias("event")))
-                for p, e in L.EVENT_PHRASES.items()
-            ]
-        )
-    )
+    known = F.filter(A.literal_structs(("phrase", "event"), L.EVENT_PHRASES.items()), lambda p: F.contains(low, p["phrase"]))
+    spots = F.transform(known, lambda p: F.struct(F.instr(low, p["phrase"]).alias("at"), p["event"].alias("event")))
 
     def build(hits: Column) -> Column:
         first = F.array_min(F.transform(hits, lambda h: h["at"]))

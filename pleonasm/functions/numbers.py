@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pleonasm import lexicons as L
-from pleonasm.functions.arrays import let
+from pleonasm.functions.arrays import let, literal_map
 
 
 def number_value(phrase: Column) -> Column:
     """Value of a run of number words, or null when any part is not one."""
-    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v).cast("long")) for k, v in L.NUMBER_WORDS.items()))
+    table = literal_map(L.NUMBER_WORDS)
     parts = F.filter(F.split(F.lower(F.trim(phrase)), r"[-\s]+"), lambda p: p != "")
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
 
@@ -42,12 +40,12 @@ def iso_date(low: Column) -> Column:
     """`october 3 1998` to `1998-10-03`; other text stays."""
     shape = r"^([a-z]+)\s+(\d{1,2})\s+(\d{4})$"
     # A month is named by its first three letters or in full; "sept" is the one other short form.
-    months = F.create_map(
-        *chain.from_iterable(
-            (F.lit(form), F.lit(f"{number:02d}"))
+    months = literal_map(
+        {
+            form: f"{number:02d}"
             for number, name in enumerate(L.MONTH_NAMES, start=1)
-            for form in dict.fromkeys((name[:3], name, "sept" if name == "september" else name))
-        )
+            for form in (name[:3], name, "sept" if name == "september" else name)
+        }
     )
     month = F.try_element_at(months, F.regexp_extract(low, shape, 1))
     rebuilt = F.concat_ws("-", F.regexp_extract(low, shape, 3), month, F.lpad(F.regexp_extract(low, shape, 2), 2, "0"))

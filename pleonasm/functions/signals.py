@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pleonasm import lexicons as L
 from pleonasm.functions import text as T
-from pleonasm.functions.arrays import let
+from pleonasm.functions.arrays import let, literal_map
 from pleonasm.functions.numbers import light_fact_key, number_value
 
 
@@ -212,8 +212,7 @@ def without_header(text: Column) -> Column:
 
 
 def _mapped(word: Column, table: dict[str, str]) -> Column:
-    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.coalesce(F.try_element_at(entries, word), word)
+    return F.coalesce(F.try_element_at(literal_map(table), word), word)
 
 
 def cluster_fingerprint(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pleonasm import lexicons as L
-from pleonasm.functions.arrays import let
+from pleonasm.functions.arrays import let, literal_array  # noqa: F401 - literal_array is part of this module's surface
 from pleonasm.functions.numbers import number_value
 
 SPLIT_TERMINAL = r"(?<=[.!?])\s+"
@@ -119,10 +119,6 @@ def any_word(words) -> str:
     return r"\b(?:" + "|".join(w.replace(".", r"\.") for w in ordered) + r")\b"
 
 
-def literal_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def first_match(cases, default=None) -> Column:
     """First condition that holds decides; `cases` are (condition, value) pairs."""
     chain = None

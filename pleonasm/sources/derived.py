@@ -198,6 +198,28 @@ DERIVED: dict[str, Derived] = {
     "status_notes": Derived("orders", {**_NOTE, "sentence": _STATUS}),
     "fact_notes": Derived("orders", {**_NOTE, "sentence": _FACT}),
     "frame_notes": Derived("orders", {**_NOTE, "sentence": _FRAME}),
+    "mention_notes": Derived(
+        "orders",
+        {
+            **_NOTE,
+            "sentence": _case(
+                "o_orderkey % 4", f"'Node N-' || {_C} || ' was reviewed.'", f"'Node M-' || {_K} || ' was reviewed.'",
+                f"'Node N-' || {_C} || ' was later paused.'", f"'Node M-' || {_C} || ' is fine.'",
+            ),
+        },
+    ),
+    "list_notes": Derived(
+        "orders",
+        {
+            "prompt_id": "CAST(floor(o_orderkey / 3) AS BIGINT)",
+            "pos": "o_orderkey",
+            "sentence": _case(
+                "o_orderkey % 3", f"'Policy P-' || {_K} || ' was reviewed.'",
+                "'Policies P-' || CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS STRING) || ' and Q-1 were reviewed.'",
+                f"'Policy Q-1 was reviewed.'",
+            ),
+        },
+    ),
     "theme_notes": Derived("orders", {**_NOTE, "sentence": _case("o_orderkey % 15", *_THEMES)}),
     "claim_notes": Derived("orders", {**_NOTE, "sentence": _CLAIM}),
     "chunk_prompts": Derived("documents", {"prompt_id": "doc_id", "text": _PROMPT}),
