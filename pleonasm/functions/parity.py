@@ -1,0 +1,16 @@
+"""The one measure no built-in expresses, as an Arrow batch function."""
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Matching-blocks ratio of two strings. Meant for candidate pairs that already passed a block."""
+    return F.pandas_udf(_ratio, "double")(a, b)
