@@ -143,7 +143,7 @@ _CLAIM = _case(
     f"{_B} || ' is really harder than ' || {_A} || '.'",
     f"'My name is Person' || {_C} || '.'",
     f"'Person' || {_C} || ' is my name.'",
-    f"{_A} || ' is ' || " + _pick("CAST(floor(o_orderkey / 9) AS BIGINT) % 3", ("fast", "quick", "slow")) + " || '.'",
+    f"{_A} || ' is ' || " + _pick("CAST(floor(o_orderkey / 9) AS BIGINT) % 3", ("fast", "slow", "easy")) + " || '.'",
     f"'Service' || {_C} || ' must encrypt all backups.'",
     f"'Service' || {_C} || ' can export reports' || CASE WHEN o_orderkey % 18 < 9 THEN '.' ELSE ' because it is licensed.' END",
 )
