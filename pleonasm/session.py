@@ -35,19 +35,22 @@ def local_session(app: str = "pleonasm", cpus: str | int = "*", memory: str = "1
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the cluster's shared folder, so that a lost executor does not replay the plan.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one named by `spark.checkpoint.dir`.
 
-    The folder is the one named by `spark.checkpoint.dir`. A folder of our own is used only in a
-    session that names none and that runs in local mode.
+    A temporary folder is used only where a session names none and runs in local mode.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="pleonasm-")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` reliably, so that a lost executor does not replay a long chain of stages."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="pleonasm-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
