@@ -47,4 +47,4 @@ def load() -> dict[str, Query]:
     return REGISTRY
 
 
-MODULES = ("corpus", "reports", "extraction", "framing", "likeness", "sections", "meanings", "checks", "streams")
+MODULES = ("corpus", "reports", "extraction", "framing", "likeness", "sections", "meanings", "checks", "streams", "whole")

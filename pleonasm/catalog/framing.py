@@ -71,8 +71,7 @@ _SLOT_SOURCE = f"""SELECT o_custkey AS prompt_id, o_orderkey AS pos, o_orderkey
       CASE kind WHEN 8 THEN 'Policies ' || {S.render_list('items')} || ' were reviewed.' ELSE 'Support logged ' || {S.render_list('items')} || '.' END AS merged FROM g WHERE len(items) >= 2""",
 )
 def slot_lists(t):
-    rows = frames.with_blocked_items(t.derived("frame_notes"), _SCOPE, slots.slot(F.col("sentence"))["entity_id"])
-    return frames.fold_report(rows, _SCOPE, frames.slot_fold())
+    return frames.fold_report(frames.with_slots(t.derived("frame_notes"), _SCOPE), _SCOPE, frames.slot_fold())
 
 
 @query(

@@ -5,11 +5,36 @@ All of it is sort based: `n log n` in the number of elements, never pairwise.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_BUILT: dict = {}
+
+
+def reusable(build: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Builds a wide expression once per column name and context.
+
+    Every node of an expression is a call into the JVM, so an expression of some thousand nodes takes
+    a second to put together. Expressions are immutable and may stand in any number of plans.
+    """
+
+    @wraps(build)
+    def once(value: Column) -> Column:
+        plain = re.fullmatch(r"Column<'([A-Za-z_]+)'>", str(value))
+        if plain is None:
+            return build(value)
+        key = (id(SparkContext._active_spark_context), build.__module__, build.__name__, plain[1])
+        if key not in _BUILT:
+            _BUILT[key] = build(value)
+        return _BUILT[key]
+
+    return once
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once per row, however often `body` refers to it."""

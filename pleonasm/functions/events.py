@@ -149,6 +149,7 @@ def _status_events(raw: Column, low: Column) -> Column:
     return F.when(low.rlike(r"\b(?:is|was|were|exists)\b"), A.let(spots, build)).otherwise(_empty())
 
 
+@A.reusable
 def event_signatures(text: Column) -> Column:
     """Sorted distinct event signatures of all sentences of a text."""
     return F.array_sort(F.array_distinct(F.flatten(F.transform(T.sentences(text), _sentence_events))))

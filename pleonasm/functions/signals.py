@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from pleonasm import lexicons as L
 from pleonasm.functions import text as T
-from pleonasm.functions.arrays import let, literal_map
+from pleonasm.functions.arrays import let, literal_map, reusable
 from pleonasm.functions.numbers import light_fact_key, number_value
 
 
+@reusable
 def light_facts(text: Column) -> Column:
     """Distinct fact strings of all light patterns; bare number words do not count."""
     found = F.flatten(F.array(*[T.find_all(text, f"(?i){p}") for p in L.LIGHT_FACT_PATTERNS]))
@@ -18,6 +19,7 @@ def light_facts(text: Column) -> Column:
     return F.filter(F.array_distinct(trimmed), lambda v: number_value(v).isNull())
 
 
+@reusable
 def light_fact_keys(text: Column) -> Column:
     """Sorted canonical keys of the light facts."""
     return F.array_sort(F.array_distinct(F.transform(light_facts(text), light_fact_key)))
@@ -31,6 +33,7 @@ def identity_keys(fact_keys: Column) -> Column:
     )
 
 
+@reusable
 def state_signatures(text: Column) -> Column:
     """Sorted state words, `not_` when the text negates them."""
     low = F.lower(text)
@@ -46,6 +49,7 @@ def state_signatures(text: Column) -> Column:
     return F.array_sort(F.array_union(states, extra))
 
 
+@reusable
 def risk_markers(text: Column) -> Column:
     """Sorted risk and negation markers."""
     low = F.lower(text)
@@ -78,6 +82,7 @@ def status_subject(sentence: Column) -> Column:
     return F.when(ok, F.trim(F.regexp_extract(sentence, STATUS, 1)))
 
 
+@reusable
 def sentence_role(sentence: Column) -> Column:
     """instruction_warning, factual_state or other."""
     return (
@@ -90,6 +95,7 @@ def sentence_role(sentence: Column) -> Column:
     )
 
 
+@reusable
 def date_role(sentence: Column) -> Column:
     """The sentence with its dates masked, for sentences that give a date a role; else null."""
     roles = r"\b(?:started|paused|deadline|expires?|expired|legal hold|release|filing)\b"
@@ -215,6 +221,7 @@ def _mapped(word: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(literal_map(table), word), word)
 
 
+@reusable
 def cluster_fingerprint(text: Column) -> Column:
     """Distinct content words, synonyms merged, endings cut."""
     words = T.find_all(F.lower(without_header(text)), r"[A-Za-z0-9'-]+")
@@ -235,6 +242,7 @@ def cluster_fingerprint(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(content, stem)))
 
 
+@reusable
 def family_fingerprint(text: Column) -> Column:
     """The second variant: letters only, a synonym is final, longer minimum lengths."""
     words = T.find_all(F.lower(without_header(text)), r"[A-Za-z][A-Za-z'-]+")

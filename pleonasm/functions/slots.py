@@ -69,6 +69,7 @@ def _slot(entity_type, entity_id, owned, predicate, state, role, count=None, kin
     )
 
 
+@A.reusable
 def slot(sentence: Column) -> Column:
     """The slot of a single sentence, or null."""
     return A.let(T.strip(sentence), _slot_of)
@@ -106,6 +107,7 @@ def _items(text: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+@A.reusable
 def listed_slots(sentence: Column) -> Column:
     """The slots of a sentence that already is a list; empty when it is none."""
     return A.let(T.strip(sentence), _listed_slots_of)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pleonasm import lexicons as L
-from pleonasm.functions.arrays import let, literal_array  # noqa: F401 - literal_array is part of this module's surface
+from pleonasm.functions.arrays import let, literal_array, reusable  # noqa: F401 - literal_array is part of this module's surface
 from pleonasm.functions.numbers import number_value
 
 SPLIT_TERMINAL = r"(?<=[.!?])\s+"
@@ -76,6 +76,7 @@ def bare_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9$%]+", " "))
 
 
+@reusable
 def normal_text(text: Column) -> Column:
     """Comparison key: number words and units in one form, punctuation dropped."""
     low = F.regexp_replace(F.lower(text), rf"\b({L.NUMBER_PHRASE})\s*milliseconds\b", "$1 ms")

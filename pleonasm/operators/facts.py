@@ -101,6 +101,7 @@ def free_numbers(text: Column) -> Column:
     return F.array_distinct(T.find_all(out, L.FREE_NUMBER))
 
 
+@A.reusable
 def sensitive_facts(text: Column) -> Column:
     """Sorted distinct (kind, value) pairs; every kind looks at the whole text. Opaque kinds are left out."""
     parts = [

@@ -26,6 +26,7 @@ def _sentence() -> Column:
 # --- the safety signature of a sentence --------------------------------------------------------------
 
 
+@A.reusable
 def signature(sentence: Column) -> Column:
     """Everything that a removal must not lose."""
     return F.struct(
@@ -82,6 +83,8 @@ class Fold:
     at_end: bool = False
     keeps_signatures: bool = False
     blocking: bool = False
+    # (ordered items, merged sentence) -> may stand; evaluated outside the rendering
+    check: Callable[[Column, Column], Column] | None = None
 
 
 def with_groups(rows: DataFrame, scope: list[str], fold: Fold) -> DataFrame:
@@ -104,7 +107,11 @@ def with_groups(rows: DataFrame, scope: list[str], fold: Fold) -> DataFrame:
         items = F.array_distinct(F.transform(entries, lambda e: e["item"]))
         return A.let(fold.render(entries, items, F.col("_blocks")), lambda new: F.when(_gains(fold, entries, new), new))
 
-    staged = staged.withColumn("merged", F.when(first, A.let(F.col("_all"), write))).drop("_all", "_item", "_blocks")
+    staged = staged.withColumn("merged", F.when(first, A.let(F.col("_all"), write)))
+    if fold.check is not None:
+        staged = staged.withColumn("merged", F.when(fold.check(F.col("_all.item"), F.col("merged")), F.col("merged")))
+    staged = staged.drop("_all", "_item", "_blocks")
+    staged = _guarded(staged, group, fold)
     # The first row decides for its whole group.
     return staged.withColumn("_ok", F.max(F.col("merged").isNotNull()).over(group)).drop("_in", "_key")
 
@@ -118,17 +125,34 @@ def _gains(fold: Fold, entries: Column, new: Column) -> Column:
         checks &= fewer
     elif fold.gain == "tokens or characters":
         checks &= fewer | (F.length(new) < total(F.length))
-    if fold.keeps_signatures:
-        checks &= keeps_signatures(F.array_join(sentences, " "), new)
     return checks
 
 
-def keeps_signatures(before: Column, after: Column) -> Column:
-    pair = F.struct(signature(before).alias("b"), signature(after).alias("a"))
-    return A.let(
-        pair, lambda p: covers(p["b"]["facts"], p["a"]["facts"]) & covers(p["b"]["states"], p["a"]["states"])
-        & covers(p["b"]["events"], p["a"]["events"]) & covers(p["b"]["risks"], p["a"]["risks"]),
-    )
+_GUARDED = ("facts", "states", "events", "risks")
+
+
+def _guarded(staged: DataFrame, group, fold: Fold) -> DataFrame:
+    """Drops a merged sentence that lost a fact, state, event or risk of its group."""
+    if not fold.keeps_signatures:
+        return staged
+    signed = with_signature(staged)
+    entry = F.when(F.col("_in").isNotNull(), F.col("_sig"))
+    signed = signed.withColumn("_sigs", F.when(F.col("merged").isNotNull(), F.collect_list(entry).over(group))).withColumn("_new", signature(F.col("merged")))
+    kept = F.lit(True)
+    for name in _GUARDED:
+        said = F.array_distinct(F.flatten(F.transform("_sigs", lambda s: s[name])))
+        kept &= covers(said, F.col("_new")[name])
+    return signed.withColumn("merged", F.when(kept, F.col("merged"))).withColumn(
+        "_sig", F.when(F.col("merged").isNotNull(), F.col("_new")).otherwise(F.col("_sig"))
+    ).drop("_sigs", "_new")
+
+
+def with_signature(rows: DataFrame) -> DataFrame:
+    """Adds `_sig`, or fills it where an earlier pass changed the sentence and left it empty."""
+    fresh = signature(_sentence())
+    if "_sig" not in rows.columns:
+        return rows.withColumn("_sig", fresh)
+    return rows.withColumn("_sig", F.when(F.col("_sig").isNull(), fresh).otherwise(F.col("_sig")))
 
 
 def fold_report(rows: DataFrame, scope: list[str], fold: Fold) -> DataFrame:
@@ -143,7 +167,11 @@ def apply_fold(rows: DataFrame, scope: list[str], fold: Fold) -> DataFrame:
     grouped = with_groups(rows, scope, fold).filter(~F.col("_ok") | F.col("merged").isNotNull())
     end = F.max("pos").over(Window.partitionBy(*scope)) + 1
     pos = F.when(F.col("merged").isNotNull(), end).otherwise(F.col("pos")) if fold.at_end else F.col("pos")
-    return grouped.select(*[c for c in rows.columns if c not in ("pos", "sentence")], pos.alias("pos"), F.coalesce("merged", "sentence").alias("sentence"))
+    columns = {c: F.col(c) for c in rows.columns}
+    columns["pos"], columns["sentence"] = pos, F.coalesce("merged", "sentence")
+    if "_sig" in columns and not fold.keeps_signatures:
+        columns["_sig"] = F.when(F.col("merged").isNull(), F.col("_sig"))
+    return grouped.select(*[value.alias(name) for name, value in columns.items()])
 
 
 def _group(pattern: str, i: int, text: Column | None = None) -> Column:
@@ -287,13 +315,24 @@ def item_fold() -> Fold:
     return Fold("item", framed["frame"], framed["item"], render, keeps_signatures=True, blocking=True)
 
 
+def with_slots(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """Adds `_slot` (with its signature) and `_frame`, the key under which slots share a list.
+
+    An entity that another sentence says something blocking about has no frame.
+    """
+    parsed = rows.withColumn("_parsed", slots.slot(_sentence()))
+    blocked = with_blocked_items(parsed, scope, F.col("_parsed.entity_id"))
+    free = F.col("_parsed").isNotNull() & ~F.coalesce("_blocked", F.lit(False))
+    signed = F.struct(F.col("_parsed.*"), slots.signature(F.col("_parsed")).alias("signature"))
+    return (
+        blocked.withColumn("_slot", F.when(free, signed)).withColumn("_frame", F.when(free, slots.frame_key(F.col("_parsed")))).drop("_parsed", "_blocked")
+    )
+
+
 def slot_fold() -> Fold:
-    """Slots with the same frame key. Entities with a blocking mention elsewhere keep their sentence."""
+    """Slots with the same frame key, from the columns of `with_slots`."""
 
     def render(entries: Column, items: Column, _: Column) -> Column:
-        known = F.transform(entries, lambda e: F.struct(e["item"].alias("slot"), slots.signature(e["item"]).alias("signature")))
-        unique = F.transform(A.keep_first(known, lambda k: k["signature"]), lambda k: k["slot"])
-
         def write(group: Column) -> Column:
             first = F.get(group, F.lit(0))
             complaints = F.transform(group, lambda s: F.concat_ws(" ", s["count"], s["complaint_kind"], F.lit("complaints")))
@@ -303,19 +342,14 @@ def slot_fold() -> Fold:
                 slots.plural(first["entity_type"]), F.lit(" "), T.render_list(F.transform(group, lambda s: s["entity_id"])), owned,
                 F.lit(" "), first["predicate"], F.lit("."),
             )
-            text = F.when(first["predicate"] == "logged", logged).otherwise(listed)
-            return F.when(F.size(group) >= 2, A.let(text, lambda new: F.when(_slots_kept(group, new), new)))
-
-        return A.let(unique, write)
+            return F.when(F.size(group) >= 2, F.when(first["predicate"] == "logged", logged).otherwise(listed))
 
-    free = A.let(slots.slot(_sentence()), lambda s: F.when(s.isNotNull() & ~F.coalesce(F.col("_blocked"), F.lit(False)), slots.frame_key(s)))
-    return Fold("slot", free, slots.slot(_sentence()), render, gain="tokens or characters", keeps_signatures=True)
+        return A.let(A.keep_first(items, lambda s: s["signature"]), write)
 
+    def stated(items: Column, merged: Column) -> Column:
+        return covers(F.array_distinct(items["signature"]), F.transform(slots.listed_slots(merged), slots.signature))
 
-def _slots_kept(group: Column, new: Column) -> Column:
-    before = F.array_distinct(F.transform(group, slots.signature))
-    after = F.transform(slots.listed_slots(new), slots.signature)
-    return covers(before, after)
+    return Fold("slot", F.col("_frame"), F.col("_slot"), render, gain="tokens or characters", keeps_signatures=True, check=stated)
 
 
 def with_blocked_items(rows: DataFrame, scope: list[str], item: Column) -> DataFrame:
@@ -356,12 +390,14 @@ def with_conflict_count(rows: DataFrame, scope: list[str]) -> DataFrame:
 
 def _partnered(rows: DataFrame, scope: list[str], key: Column, removable: Column, keeper: Column) -> DataFrame:
     """Adds `kept`: the first keeper sentence with the key of a removable one, if nothing would be lost."""
-    staged = rows.withColumn("_key", F.coalesce(key, F.concat(F.lit("\u0000"), F.col("pos").cast("string"))))
+    signed = rows if "_sig" in rows.columns else with_signature(rows)
+    staged = signed.withColumn("_key", F.coalesce(key, F.concat(F.lit("\u0000"), F.col("pos").cast("string"))))
     staged = staged.withColumn("_r", removable)
-    partner = F.min(F.when(keeper, F.struct("pos", "sentence"))).over(Window.partitionBy(*scope, "_key"))
+    partner = F.min_by(F.struct("sentence", "_sig"), F.when(keeper, F.col("pos"))).over(Window.partitionBy(*scope, "_key"))
     staged = staged.withColumn("_p", F.when(F.col("_r"), partner))
-    kept = F.when(F.col("_p").isNotNull() & can_remove(_sentence(), F.col("_p.sentence")), F.col("_p.sentence"))
-    return staged.withColumn("kept", F.when(F.col("_p").isNotNull(), kept)).drop("_key", "_r", "_p")
+    safe = F.size(removal_reasons(F.col("_sig"), F.col("_p._sig"))) == 0
+    kept = F.when(F.col("_p.sentence").isNotNull() & safe, F.col("_p.sentence"))
+    return staged.withColumn("kept", kept).drop("_key", "_r", "_p", *([] if "_sig" in rows.columns else ["_sig"]))
 
 
 def formula_notes(rows: DataFrame, scope: list[str]) -> DataFrame:
@@ -477,3 +513,55 @@ def fused_warnings(rows: DataFrame, scope: list[str]) -> DataFrame:
         T.count_tokens(F.col("fused")) <= T.count_tokens(F.col("fact")) + T.count_tokens(F.col("warning"))
     )
     return sized.select(*scope, "fact_pos", "warning_pos", "fused")
+
+
+def fuse_warnings(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """Sentence rows with each fact and its warning about the same entity in one sentence.
+
+    The n-th fact of an entity takes its n-th warning. One window, no join, for use inside a chain.
+    """
+    s = _sentence()
+    fact_form = rf"{signals.NEGATED_FACT}|{signals.NO_FACT}"
+    warning = s.rlike(signals.CLAIM_WARNING) & ~s.rlike(f"(?i){L.CONFLICT_RECORD}")
+    fact = s.rlike(fact_form) & ~warning & ~s.rlike(f"(?i){L.CONFLICT_RECORD}") & ~F.lower(s).rlike(T.any_word(L.UNFUSIBLE_STATES))
+    part = lambda i: F.when(warning, F.regexp_extract(s, signals.CLAIM_WARNING, i)).when(
+        s.rlike(signals.NEGATED_FACT), F.regexp_extract(s, signals.NEGATED_FACT, i)
+    ).otherwise(F.regexp_extract(s, signals.NO_FACT, i))
+    staged = rows.withColumn("_kind", F.when(warning, F.lit("w")).when(fact, F.lit("f"))).withColumn("_pred", F.when(F.col("_kind").isNotNull(), F.lower(part(3))))
+    staged = staged.withColumn("_kind", F.when(F.col("_pred").isin(list(L.FUSABLE_PREDICATES)), F.col("_kind")))
+    key = F.concat_ws("|", "_pred", entity_key(F.trim(part(1)), s))
+    staged = staged.withColumn("_key", F.when(F.col("_kind").isNotNull(), key).otherwise(F.concat(F.lit("\u0000"), F.col("pos").cast("string"))))
+    group, one_kind = Window.partitionBy(*scope, "_key"), Window.partitionBy(*scope, "_key", "_kind").orderBy("pos")
+    staged = staged.withColumn("_n", F.row_number().over(one_kind))
+    warnings = F.array_sort(F.collect_list(F.when(F.col("_kind") == "w", F.struct("pos", "sentence"))).over(group))
+    staged = staged.withColumn("_w", F.when(F.col("_kind") == "f", F.get(warnings, F.col("_n") - 1)["sentence"]))
+    many = F.lower(part(2)).isin("are", "were") | T.normal_text(F.trim(part(1))).rlike("[^s]s$")
+    fused = F.concat(
+        F.regexp_replace(s, r"[.;]+$", ""), F.when(many, F.lit("; do not claim they were ")).otherwise(F.lit("; do not claim it was ")),
+        F.col("_pred"), F.lit("."),
+    )
+    fits = T.count_tokens(F.col("_new")) <= T.count_tokens(s) + T.count_tokens(F.col("_w"))
+    staged = staged.withColumn("_new", F.when(F.col("_w").isNotNull(), fused)).withColumn("_new", F.when(fits, F.col("_new")))
+    taken = F.collect_set(F.when(F.col("_new").isNotNull(), F.col("_n"))).over(group)
+    staged = staged.withColumn("_gone", F.when(F.col("_kind") == "w", F.array_contains(taken, F.col("_n"))).otherwise(F.lit(False)))
+    if "_sig" in rows.columns:
+        staged = staged.withColumn("_sig", F.when(F.col("_new").isNull(), F.col("_sig")))
+    return staged.filter(~F.col("_gone")).withColumn("sentence", F.coalesce("_new", "sentence")).select(*rows.columns)
+
+
+def drop_fact_duplicates(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """Sentence rows without those a shorter sentence with the same facts makes superfluous.
+
+    Equal signatures leave one row each in a first window, so the second one holds few rows per fact set.
+    """
+    staged = with_signature(rows).withColumn("_facts", F.col("_sig.facts"))
+    staged = staged.withColumn("_rank", F.struct(T.count_tokens(_sentence()).alias("tokens"), F.col("pos").alias("pos")))
+    anchored = F.size("_facts") > 0
+    own = F.when(anchored, F.lit(0)).otherwise(F.col("pos"))
+    staged = staged.withColumn("_own", own)
+    same = Window.partitionBy(*scope, "_own", "_facts", "_sig")
+    staged = staged.withColumn("_best", F.min("_rank").over(same)).filter(F.col("_best") == F.col("_rank"))
+    shelf = F.collect_list(F.struct(F.col("_rank").alias("rank"), F.col("_sig").alias("sig"))).over(Window.partitionBy(*scope, "_own", "_facts"))
+    staged = staged.withColumn("_shelf", shelf)
+    beaten = F.exists("_shelf", lambda k: (k["rank"] < F.col("_rank")) & (F.size(removal_reasons(F.col("_sig"), k["sig"])) == 0))
+    return staged.filter(~(anchored & beaten)).select(*rows.columns)
