@@ -51,7 +51,10 @@ def with_masked_text(df: DataFrame, text: str = "text", out: str = "masked") ->
         staged = staged.withColumn(
             "_m", F.when(F.col("_m.text").rlike(regex), _mask_kind(F.col("_m"), kind, regex)).otherwise(F.col("_m"))
         )
-    return staged.withColumn(out, F.col("_m.text")).withColumn("regions", F.col("_m.regions")).drop("_m")
+    # The result passes through a generator: a filter on it would otherwise be rewritten in terms of the
+    # text, level by level, and the plan would grow without bound.
+    done = staged.withColumn("_r", F.explode(F.array("_m")))
+    return done.withColumn(out, F.col("_r.text")).withColumn("regions", F.col("_r.regions")).drop("_m", "_r")
 
 
 def _mask_kind(state: Column, kind: str, regex: str) -> Column:
