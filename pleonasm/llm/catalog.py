@@ -45,3 +45,27 @@ def packed_pieces(documents: DataFrame) -> DataFrame:
 @_query()
 def op7_pack_prompts(t: Tables) -> DataFrame:
     return packed_pieces(t.documents)
+
+
+_LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
+  FROM {documents}),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+repeated AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT keyed.*, repeated.k IS NOT NULL AS dropped FROM keyed LEFT JOIN repeated USING (k))
+"""
+LINES_SQL = (
+    _LINES_SQL.format(documents="documents")
+    + """SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT dropped), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+)
+
+
+@_query(LINES_SQL)
+def op4_drop_repeated_lines(t: Tables) -> DataFrame:
+    from pleonasm.llm.lines import drop_repeated_lines
+
+    kept = drop_repeated_lines(prompts_of(t.documents), min_prompts=10)
+    return kept.select(F.col("prompt_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
