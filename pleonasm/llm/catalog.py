@@ -69,3 +69,30 @@ def op4_drop_repeated_lines(t: Tables) -> DataFrame:
 
     kept = drop_repeated_lines(prompts_of(t.documents), min_prompts=10)
     return kept.select(F.col("prompt_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+# Words are joined by a space in the window, so equal strings are equal word sequences.
+SPANS_SQL = """
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM docs WHERE len(words) >= 35)),
+repeated AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows JOIN repeated USING (w)),
+lists AS (SELECT doc_id, list(p ORDER BY p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM docs),
+texts AS (
+  SELECT kept.doc_id, string_agg(word, ' ' ORDER BY kept.p) AS text FROM kept ANTI JOIN gone ON kept.doc_id = gone.doc_id AND kept.p = gone.p GROUP BY kept.doc_id)
+SELECT docs.doc_id, len(words) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(texts.text, '')) AS kept_sha256
+FROM docs LEFT JOIN lists USING (doc_id) LEFT JOIN texts USING (doc_id)"""
+
+
+@_query(SPANS_SQL)
+def op9_remove_repeated_spans(t: Tables) -> DataFrame:
+    from pleonasm.llm.spans import remove_repeated_spans
+
+    kept = remove_repeated_spans(prompts_of(t.documents), window=35)
+    return kept.select(F.col("prompt_id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
