@@ -96,3 +96,10 @@ def op9_remove_repeated_spans(t: Tables) -> DataFrame:
 
     kept = remove_repeated_spans(prompts_of(t.documents), window=35)
     return kept.select(F.col("prompt_id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query()
+def op5_near_duplicate_prompts(t: Tables) -> DataFrame:
+    from pleonasm.llm.simhash import near_duplicate_prompts
+
+    return near_duplicate_prompts(prompts_of(t.documents)).withColumnRenamed("prompt_id", "doc_id")

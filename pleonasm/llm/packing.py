@@ -43,14 +43,29 @@ class _Encoder:
         except KeyError:
             pass
         new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
+        if len(known) + 2 * len(new) > CACHED_WORDS:
             known.clear()
             new = list(set(words))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        parts = {w: _parts(w) for w in new}
+        stems = [w for w in {stem for stem, _ in parts.values()} | {mark for _, mark in parts.values()} if w not in known]
+        for stem, found in zip(stems, self.tokenizer.encode_batch_fast(stems, add_special_tokens=False), strict=True):
+            known[stem] = np.array(found.ids, dtype="<u4").tobytes()
+        for word, (stem, mark) in parts.items():
+            known[word] = known[stem] + known[mark]
         return b"".join([known[w] for w in words])
 
 
+def _parts(word: str) -> tuple[str, str]:
+    """A word in the form its tokens depend on, and a mark at its end that is always a token of its own.
+
+    Tokens do not tell upper from lower case, and never join a letter with a full stop or a comma.
+    """
+    mark = ""
+    if word[-1:] in (".", ",") and word[-2:-1].isalpha():
+        word, mark = word[:-1], word[-1]
+    return (word.lower() if word.isascii() and "<" not in word else word), mark
+
+
 class _Piece:
     __slots__ = ("prompt", "start", "ids", "total")
 
