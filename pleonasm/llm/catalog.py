@@ -103,3 +103,56 @@ def op5_near_duplicate_prompts(t: Tables) -> DataFrame:
     from pleonasm.llm.simhash import near_duplicate_prompts
 
     return near_duplicate_prompts(prompts_of(t.documents)).withColumnRenamed("prompt_id", "doc_id")
+
+
+def _secret_sql() -> str:
+    keyword = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    kinds = (
+        ("assign", keyword + """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+    )
+    parts = []
+    for k, (name, pattern, group, least) in enumerate(kinds):
+        parts.append(
+            f"""SELECT doc_id, lang, source, {k} AS k, '{name}' AS kind, value,
+  list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0) AS s, length(matches[i]) AS n
+FROM (SELECT doc_id, lang, source, matches, gaps, unnest(values) AS value, generate_subscripts(values, 1) AS i
+  FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '{pattern}', 0) AS matches, regexp_extract_all(text, '{pattern}', {group}) AS values,
+    string_split_regex(text, '{pattern}') AS gaps FROM documents WHERE regexp_matches(text, '{pattern}')))
+WHERE length(value) >= {least}"""
+        )
+    return (
+        "WITH found AS ("
+        + "\nUNION ALL\n".join(parts)
+        + """),
+owned AS (SELECT value, count(DISTINCT source) AS owners FROM found GROUP BY value),
+judged AS (
+  SELECT found.*, CASE WHEN owners >= 3 THEN 'copied' WHEN owners = 1 AND length(value) >= 16 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND NOT regexp_matches(value, '(?i)example|placeholder|changeme|dummy|sample|your|xxxx|\\*\\*\\*') THEN 'live' ELSE 'unclear' END AS verdict
+  FROM found JOIN owned USING (value)),
+rows_of AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + n AS BIGINT) AS VARCHAR), ',' ORDER BY s, k) AS spans,
+    count(DISTINCT value) FILTER (verdict = 'copied') AS n_copied, count(DISTINCT value) FILTER (verdict = 'live') AS n_live
+  FROM judged GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+FROM documents LEFT JOIN rows_of USING (doc_id)"""
+    )
+
+
+@_query(_secret_sql())
+def op2_scan_secrets(t: Tables) -> DataFrame:
+    """A document's source is taken as its owner, source and language as its repository."""
+    from pleonasm.llm.secret_scan import KINDS, scan_secrets, span_names
+
+    found = scan_secrets(prompts_of(t.documents, F.col("lang").alias("repository"), F.col("source").alias("owner")))
+
+    def having(items: Column, field: str, value) -> Column:
+        return F.size(F.filter(items, lambda item: item[field] == value)).cast("long")
+
+    counts = [having(F.col("findings"), "kind", k).alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)]
+    verdicts = [having(F.map_values("verdicts"), "verdict", name).alias(f"n_{name}") for name in ("copied", "live")]
+    spans = span_names(F.col("findings"))
+    return found.select(F.col("prompt_id").alias("doc_id"), *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"), *verdicts)
