@@ -156,3 +156,33 @@ def op2_scan_secrets(t: Tables) -> DataFrame:
     verdicts = [having(F.map_values("verdicts"), "verdict", name).alias(f"n_{name}") for name in ("copied", "live")]
     spans = span_names(F.col("findings"))
     return found.select(F.col("prompt_id").alias("doc_id"), *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"), *verdicts)
+
+
+_WORDS_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+BENCHMARK_SQL = f"""
+WITH items AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS win, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n),
+hits AS (SELECT doc_id, i, starts.n, item_id FROM starts JOIN windows ON windows.n = starts.n AND array_to_string(w[i:i + starts.n - 1], ' ') = win),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+SELECT docs.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+def benchmark_cases(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("prompt"))
+
+
+@_query(BENCHMARK_SQL)
+def op3_find_benchmark_passages(t: Tables) -> DataFrame:
+    from pleonasm.llm.decontaminate import find_benchmark_passages
+
+    found = find_benchmark_passages(prompts_of(t.documents), benchmark_cases(t.benchmark), window=10)
+    return found.select(
+        F.col("prompt_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
