@@ -185,7 +185,9 @@ def drop_repeated_lines(
     row = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h"))
     bits = _filter_bits(prompts, text, filter_bits)
     found = cut_lineage(suspects(prompts, text, shortest, bits, row))  # read twice below
-    dropped = found.join(repeated_lines(found, min_prompts), "line_key")
+    # Cut off from its aggregation, so that adaptive execution can split a line of very many prompts in the join.
+    repeated = cut_lineage(repeated_lines(found, min_prompts))
+    dropped = found.join(repeated, "line_key")
     if keep_first:
         stays = (F.col("row") == F.col("first.row")) & F.col("first.row").isNotNull()
         dropped = dropped.withColumn("lines", F.when(stays, F.filter("lines", lambda n: n != F.col("first.line"))).otherwise(F.col("lines")))
