@@ -87,7 +87,7 @@ def _intervals(mask: np.ndarray) -> list[dict[str, int]]:
 _REPLIES = "block long, bucket long, count long, bits binary"
 
 
-def remove_repeated_spans(prompts: DataFrame, key: str = "prompt_id", text: str = "text", window: int = 35, block_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeated_spans(prompts: DataFrame, key: str = "prompt_id", text: str = "text", window: int = 35, block_bytes: int = 8 << 20) -> DataFrame:
     """Removes every word covered by a run of `window` words that starts anywhere else too, in the same prompt or another.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. All windows are judged on the input. Overlapping windows merge into
