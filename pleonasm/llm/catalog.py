@@ -186,3 +186,66 @@ def op3_find_benchmark_passages(t: Tables) -> DataFrame:
         F.col("prompt_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def labelled_prompts(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").alias("prompt_id"), "quality")
+
+
+@_query()
+def op10_score_quality(t: Tables) -> DataFrame:
+    from pleonasm.llm.quality import score_quality
+
+    return score_quality(prompts_of(t.documents), labelled_prompts(t.labels)).withColumnRenamed("prompt_id", "doc_id")
+
+
+RULES_SQL = """
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8)),
+again AS (SELECT doc_id, w FROM windows GROUP BY doc_id, w HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT windows.doc_id, unnest(range(i, i + 8)) AS p FROM windows JOIN again USING (doc_id, w)) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT docs.doc_id, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(words) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(words) AS base_failed
+  FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM base GROUP BY source),
+moments AS (SELECT least(greatest(avg(f / n), 1e-3), 1 - 1e-3) AS m, var_pop(f / n) AS v FROM hosts),
+prior AS (SELECT m, least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 1.0), 1e6) AS k FROM moments),
+bad AS (SELECT source, (f + m * k) / (n + k) >= 0.75 AS host_failed FROM hosts, prior)
+SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept
+FROM base LEFT JOIN bad USING (source)"""
+
+
+@_query(RULES_SQL)
+def op8_judge_prompts(t: Tables) -> DataFrame:
+    """A document's source is its host."""
+    from pleonasm.llm.rules import judge_prompts
+
+    return judge_prompts(prompts_of(t.documents, F.col("source").alias("host"))).drop("host_rate").withColumnRenamed("prompt_id", "doc_id")
+
+
+CHAT_SQL = """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS participant FROM turns WHERE speaker <> 'system'),
+parts AS (
+  SELECT t.conv_id, participant, turn, speaker, content, speaker = participant AS own,
+    CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = participant THEN '<|assistant|>' ELSE '<|user:' || speaker || '|>' END || chr(10) AS heading,
+    content || '<|end|>' || chr(10) AS body
+  FROM turns t JOIN people p ON t.conv_id = p.conv_id),
+placed AS (SELECT *, sum(length(heading) + length(body)) OVER (PARTITION BY conv_id, participant ORDER BY turn, speaker, content ROWS UNBOUNDED PRECEDING) AS stop FROM parts)
+SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (own) AS n_own, sha256(string_agg(heading || body, '' ORDER BY turn, speaker, content)) AS text_sha256,
+  string_agg(CAST(CAST(stop - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY stop) FILTER (own) AS mask
+FROM placed GROUP BY conv_id, participant"""
+
+
+@_query(CHAT_SQL)
+def op1_rotate_perspectives(t: Tables) -> DataFrame:
+    from pleonasm.llm.chat import rotate_perspectives
+
+    messages = t.conversations.select(F.col("conv_id").alias("conversation_id"), "turn", "role", F.col("text").alias("content"))
+    spans = F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return rotate_perspectives(messages).select(
+        F.col("conversation_id").alias("conv_id"), "participant", "n_turns", "n_own", F.sha2("text", 256).alias("text_sha256"), F.array_join(spans, ",").alias("mask")
+    )
