@@ -249,3 +249,16 @@ def op1_rotate_perspectives(t: Tables) -> DataFrame:
     return rotate_perspectives(messages).select(
         F.col("conversation_id").alias("conv_id"), "participant", "n_turns", "n_own", F.sha2("text", 256).alias("text_sha256"), F.array_join(spans, ",").alias("mask")
     )
+
+
+@_query()
+def op6_resolve_revisits(t: Tables) -> DataFrame:
+    from uuid import uuid4
+
+    from pleonasm.llm.warc import read_archives, with_original_payloads, write_archives
+    from pleonasm.session import shared_folder
+
+    folder = f"{shared_folder(t.spark).rstrip('/')}/archives-{uuid4().hex}"
+    write_archives(t.pages.select(F.col("page_id").alias("record_id"), "url", F.col("html").alias("payload")), folder)
+    records = with_original_payloads(read_archives(t.spark, folder, with_payload=False))
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
