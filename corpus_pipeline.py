@@ -1,25 +1,78 @@
-"""From raw documents to packed training sequences, one operator a stage."""
+"""From raw documents to packed training sequences, one operator a stage.
+
+Every stage takes all that the one before it kept and returns the columns of `documents`; the last returns pieces of
+sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pleonasm.llm import catalog
+from pleonasm.llm.decontaminate import find_benchmark_passages
+from pleonasm.llm.lines import drop_repeated_lines
+from pleonasm.llm.quality import learn_quality, score_column
+from pleonasm.llm.simhash import near_duplicate_prompts
+from pleonasm.session import shared_folder
+from pleonasm.sources.tables import Tables
+
+QUALITY = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality classifier does not reject; it learns from the labels that are not held out."""
+    labels = catalog.labelled_prompts(Tables(spark, sf_dir).labels)
+    model = learn_quality(catalog.prompts_of(docs), labels)
+    return docs.where(score_column(docs, "text", model) >= QUALITY)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them share."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = drop_repeated_lines(docs, key="doc_id", carry=tuple(others)).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id; a document without an id stays."""
+    groups = near_duplicate_prompts(docs, key="doc_id")
+    copies = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    cases = catalog.benchmark_cases(Tables(spark, sf_dir).benchmark)
+    hit = find_benchmark_passages(docs, cases, key="doc_id").where("n_hit > 0").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents in sequences of 2048."""
     return catalog.packed_pieces(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_lines),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("packing", pack),
+]
 
+#: The classifier and the fingerprints have no form in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over `documents`; what a stage returns is a table in the shared folder, which the next one reads."""
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid4().hex}"
+    docs = Tables(spark, sf_dir).documents
+    for number, (_, stage) in enumerate(STAGES, 1):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
     return docs

@@ -165,6 +165,7 @@ def drop_repeated_lines(
     shortest: int = 1,
     keep_first: bool = False,
     filter_bits: int = 1 << 28,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Removes every line whose key stands in at least `min_prompts` prompts.
 
@@ -178,9 +179,9 @@ def drop_repeated_lines(
     with more lines than that serves shuffles more false suspects. A key in a third of all prompts is counted where it
     is read before it is shuffled.
 
-    Returns one row per input row: `key`, text (what is kept; null becomes empty), n_lines, n_dropped. A null or empty
-    text is one empty line, and an empty line has no key to remove. Repeated rows count as prompts of their own, null
-    keys are kept, other columns are not read, an empty table gives no rows.
+    Returns one row per input row: `key`, text (what is kept; null becomes empty), n_lines, n_dropped, and the columns
+    named in `carry`. A null or empty text is one empty line, and an empty line has no key to remove. Repeated rows
+    count as prompts of their own, null keys are kept, other columns are not read, an empty table gives no rows.
     """
     row = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h"))
     bits = _filter_bits(prompts, text, filter_bits)
@@ -192,19 +193,20 @@ def drop_repeated_lines(
         stays = (F.col("row") == F.col("first.row")) & F.col("first.row").isNotNull()
         dropped = dropped.withColumn("lines", F.when(stays, F.filter("lines", lambda n: n != F.col("first.line"))).otherwise(F.col("lines")))
     marks = dropped.groupBy(F.col("row").alias("marked")).agg(F.flatten(F.collect_list("lines")).alias("drop"))
-    schema = T.StructType([T.StructField(key, prompts.schema[key].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, before, removed = [], [], []
-            for value, marked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                lines = (value or "").split("\n")
-                drop = set(marked or ())
-                texts.append("\n".join([line for i, line in enumerate(lines) if i not in drop]) if drop else "\n".join(lines))
-                before.append(len(lines))
-                removed.append(len(drop))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
-
-    whole = prompts.select(F.col(key).alias("id"), F.col(text).alias("text"), row.alias("row"))
+    carried = [F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)]
+    whole = prompts.select(F.col(key).alias("id"), F.col(text).alias("text"), row.alias("row"), *carried)
     joined = whole.join(marks, F.col("row").eqNullSafe(F.col("marked")), "left")
-    return joined.select("id", "text", "drop").mapInArrow(rewrite, schema)
+
+    @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+    def rewrite(column: pa.Array, marked: pa.Array) -> pa.Array:
+        texts, before, removed = [], [], []
+        for value, numbers in zip(column.to_pylist(), marked.to_pylist(), strict=True):
+            lines = value.split("\n")
+            drop = set(numbers or ())
+            texts.append("\n".join([line for i, line in enumerate(lines) if i not in drop]) if drop else value)
+            before.append(len(lines))
+            removed.append(len(drop))
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=["text", "n_lines", "n_dropped"])
+
+    kept = joined.withColumn("kept", rewrite(F.coalesce("text", F.lit("")), "drop"))
+    return kept.select(F.col("id").alias(key), "kept.text", "kept.n_lines", "kept.n_dropped", *[F.col(f"carry{i}").alias(c) for i, c in enumerate(carry)])
