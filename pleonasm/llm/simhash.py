@@ -58,7 +58,7 @@ def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     differ = one ^ other
     shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
     kept = shared >= MIN_MATCHES
-    kept[kept] = np.bitwise_count(differ[kept]) <= MAX_BITS
+    kept[kept] = np.bitwise_count(differ[kept].view(np.uint64)) <= MAX_BITS  # signed numbers would count by absolute value
     return kept
 
 
