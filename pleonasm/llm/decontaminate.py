@@ -97,7 +97,7 @@ def find_benchmark_passages(
     rows.
     """
     row = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h"))
-    windows = item_windows(benchmark, item, item_text, window).cache()
+    windows = cut_lineage(item_windows(benchmark, item, item_text, window))
     shingles = window_shingles(windows, shingle)
     grams = shingles.select("gram").distinct()
     sizes = sorted(r[0] for r in grams.select(F.size("gram")).distinct().collect())  # at most `shingle` numbers
