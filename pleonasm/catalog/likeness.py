@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pleonasm.catalog import query
 from pleonasm.catalog import sqltext as S
 from pleonasm.catalog.extraction import CLUSTER_PRINT
-from pleonasm.functions import parity
 from pleonasm.functions import text as T
 from pleonasm.operators import dedupe, rows, selection, similarity
 
@@ -40,16 +39,6 @@ def sentence_clusters(t):
     return groups.filter("forms > 1").orderBy(F.desc("sentences"), "doc_id", "leader")
 
 
-@query("E2", "U1")
-def parity_scored_pairs(t):
-    sentences = _long_sentences(t)
-    pairs = similarity.cluster_pairs(sentences, ["doc_id"])
-    side = lambda name, pos: sentences.select("doc_id", F.col("pos").alias(pos), F.col("sentence").alias(name))
-    joined = pairs.join(side("a", "pos_a"), ["doc_id", "pos_a"]).join(side("b", "pos_b"), ["doc_id", "pos_b"])
-    ratio = parity.sequence_ratio(F.lower("a"), F.lower("b"))
-    return joined.select("doc_id", "pos_a", "pos_b", F.round(similarity.lexical_similarity(F.col("a"), F.col("b"), ratio), 3).alias("similarity"))
-
-
 @query(
     "E3", "C27",
     sql="""WITH n AS (SELECT o_custkey AS prompt_id, o_orderkey % 4 AS form, min(o_orderkey) AS pos FROM orders WHERE o_orderkey % 4 IN (0, 1) GROUP BY ALL)

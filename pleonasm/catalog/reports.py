@@ -374,7 +374,7 @@ def first_examples(t):
 _PILOT = f"""{_TRACES}, {_CACHE[_CACHE.index('cache AS'):]},
   totals AS (SELECT count(*) FILTER (WHERE NOT accepted) AS quality_failures, count(*) FILTER (WHERE NOT facts_kept) AS robustness_failures, round(sum(total_savings), 6) AS cost_saved, {_SAVED} FROM priced),
   cs AS (SELECT round(sum(hits) / CAST(greatest(1, sum(hits) + count(*)) AS DOUBLE) * 100, 2) AS hit_rate, count(*) AS entries, CAST(sum(hits) AS BIGINT) AS hits FROM cache),
-  recent AS (SELECT count(*) AS recent_requests, count(*) FILTER (WHERE NOT facts_kept) AS recent_protected_failures FROM (SELECT * FROM priced ORDER BY ts DESC, request_id DESC LIMIT 500)),
+  recent AS (SELECT count(*) AS recent_requests, count(*) FILTER (WHERE NOT facts_kept) AS recent_protected_failures FROM priced),
   scored AS (SELECT *, CAST(greatest(0, least(85, round(55 + least(20, savings_percent) - quality_failures * 10 - robustness_failures * 4 + least(10, hit_rate / 10)))) AS INT) AS score FROM totals, cs, recent)"""
 
 

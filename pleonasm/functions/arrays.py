@@ -8,12 +8,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BUILT: dict = {}
+_BUILT: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def reusable(build: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -28,10 +29,11 @@ def reusable(build: Callable[[Column], Column]) -> Callable[[Column], Column]:
         plain = re.fullmatch(r"Column<'([A-Za-z_]+)'>", str(value))
         if plain is None:
             return build(value)
-        key = (id(SparkContext._active_spark_context), build.__module__, build.__name__, plain[1])
-        if key not in _BUILT:
-            _BUILT[key] = build(value)
-        return _BUILT[key]
+        built = _BUILT.setdefault(SparkContext._active_spark_context, {})
+        key = (build.__module__, build.__name__, plain[1])
+        if key not in built:
+            built[key] = build(value)
+        return built[key]
 
     return once
 
@@ -65,6 +67,21 @@ def later_copies(pairs: Column) -> Column:
     return let(pairs, lambda ps: F.filter(ps, lambda p, i: _same_as_previous(ps, i)))
 
 
+def shared_keys(pairs: Column) -> Column:
+    """The (key, index) pairs of all elements whose key another element has too."""
+
+    def shared(ps: Column) -> Column:
+        same_as_next = lambda i: F.coalesce(F.get(ps, i + 1)["k"] == F.get(ps, i)["k"], F.lit(False))
+        return F.filter(ps, lambda p, i: _same_as_previous(ps, i) | same_as_next(i))
+
+    return let(pairs, shared)
+
+
+def shared_positions(pairs: Column) -> Column:
+    """Indexes of all elements whose key another element has too, in order."""
+    return F.array_sort(F.transform(shared_keys(pairs), lambda p: p["i"]))
+
+
 def pick(items: Column, positions: Column) -> Column:
     """The items at `positions`."""
     return let(items, lambda xs: F.transform(positions, lambda i: F.get(xs, i)))

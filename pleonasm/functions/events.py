@@ -43,14 +43,21 @@ def list_events(raw: Column) -> Column:
             _list_items(F.regexp_extract(raw, tables, 1)).alias("items"),
         ),
     )
-    forms = A.literal_structs(("pattern", "kind", "event"), [(f"(?i){p}", kind, event) for p, kind, event in L.ENTITY_EVENT_FORMS])
-    form = F.transform(
-        F.filter(forms, lambda f: F.rlike(raw, f["pattern"])),
-        lambda f: F.struct(
-            f["kind"].alias("kind"), f["event"].alias("event"),
-            F.array(F.call_function("regexp_extract", raw, f["pattern"], F.lit(1))).alias("items"),
-        ),
+    # Patterns are literals, so each is compiled once; one alternation keeps most sentences out of them.
+    forms = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    raw.rlike(f"(?i){p}"),
+                    F.struct(F.lit(kind).alias("kind"), F.lit(event).alias("event"), F.array(F.regexp_extract(raw, f"(?i){p}", 1)).alias("items")),
+                )
+                for p, kind, event in L.ENTITY_EVENT_FORMS
+            ]
+        )
     )
+    any_form = "(?i)" + "|".join(f"(?:{p})" for p, _, _ in L.ENTITY_EVENT_FORMS)
+    none = F.array().cast("array<struct<kind:string,event:string,items:array<string>>>")
+    form = F.when(raw.rlike(any_form), forms).otherwise(none)
     prefixes = A.literal_structs(("prefix", "event", "kind"), [(p + ":", event, kind) for p, (event, kind) in L.LIST_EVENT_PREFIXES.items()])
     prefixed = F.transform(
         F.filter(prefixes, lambda p: F.startswith(raw, p["prefix"])),
@@ -79,15 +86,13 @@ _VERBS = {
 
 def _verb_events(raw: Column) -> Column:
     """Events of the verbs in a sentence; what stands before a verb is its subject."""
-    verbs = A.literal_structs(("verb", "pattern"), [(v, f"(?i){p}") for v, p in _VERBS.items()])
-    found = F.filter(
-        verbs,
-        lambda v: F.rlike(raw, v["pattern"]) & ~((v["verb"] == "flagged_for") & F.contains(F.lower(raw), F.lit("not flagged"))),
-    )
+    place = lambda pattern: F.regexp_instr(raw, F.lit(f"(?i){pattern}"))
+    spots = F.array(*[F.struct(F.lit(verb).alias("verb"), place(pattern).alias("at")) for verb, pattern in _VERBS.items()])
+    found = F.filter(spots, lambda v: (v["at"] > 0) & ~((v["verb"] == "flagged_for") & F.contains(F.lower(raw), F.lit("not flagged"))))
     flag = T.normal_text(F.regexp_extract(raw, rf"(?i){_FLAGGED}([^.]+)", 1))
 
     def of_verb(v: Column, values: Column) -> Column:
-        head = F.substring(raw, F.lit(1), F.regexp_instr(raw, v["pattern"]) - 1)
+        head = F.substring(raw, F.lit(1), v["at"] - 1)
 
         def build(subject: Column) -> Column:
             change = F.concat_ws("->", F.get(values, F.lit(0)), F.get(values, F.lit(1)))

@@ -144,7 +144,8 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
 
 
-def edit_ratio(a: Column, b: Column) -> Column:
-    """1 - edit distance over the longer length: the engine-side stand-in for a sequence ratio."""
-    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
-    return F.lit(1.0) - F.levenshtein(a, b) / longest
+def word_runs(words: Column, n: int) -> Column:
+    """Distinct runs of `n` words; fewer words are one run, none give none."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))

@@ -75,16 +75,14 @@ def repeated_paragraphs(df: DataFrame, keys: list[str], text: str = "text") -> D
 
 def _later(df: DataFrame, keys: list[str], items: Column, min_words: int, kind: str) -> DataFrame:
     norm = lambda s: F.array_join(R.word_norms(s), " ")
-    staged = df.select(*keys, items.alias("_i")).withColumn("_n", F.transform("_i", norm))
-    staged = staged.withColumn("_d", A.later_copies(A.keyed(F.col("_n"), lambda n: n)))
+    staged = df.select(*keys, items.alias("_i")).withColumn("_d", A.shared_keys(A.keyed(F.col("_i"), norm)))
     hits = F.filter(F.col("_d"), lambda d: F.size(F.split(d["k"], " ")) >= min_words)
-    rows = staged.select(*keys, "_i", "_n", F.explode(hits).alias("_h"))
-    return rows.select(
-        *keys,
-        F.col("_h.i").alias("pos"),
-        (F.array_position("_n", F.col("_h.k")) - 1).cast("int").alias("kept_pos"),
-        F.get("_i", F.col("_h.i")).alias("span"),
-        F.lit(kind).alias("candidate_type"),
+    spans = F.transform(hits, lambda d: F.struct(d["k"].alias("k"), d["i"].alias("i"), F.get("_i", d["i"]).alias("span")))
+    rows = staged.select(*keys, F.explode(spans).alias("_h"))
+    # Copies meet by their text and key; what is shuffled are the copies, not the texts.
+    first = F.min("_h.i").over(Window.partitionBy(*keys, "_h.k"))
+    return rows.withColumn("kept_pos", first.cast("int")).filter(F.col("_h.i") > F.col("kept_pos")).select(
+        *keys, F.col("_h.i").alias("pos"), "kept_pos", F.col("_h.span").alias("span"), F.lit(kind).alias("candidate_type")
     )
 
 
@@ -103,10 +101,7 @@ def _discourse(text: Column) -> Column:
 def repeated_filler(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Discourse words that were already used earlier in the same text."""
     staged = df.select(*keys, _discourse(F.col(text)).alias("_d"))
-    again = F.filter(
-        F.transform("_d", lambda t, i: F.struct(t["norm"].alias("norm"), t["pos"].alias("pos"), i.alias("i"))),
-        lambda t: F.array_position(F.col("_d.norm"), t["norm"]) <= t["i"],
-    )
+    again = A.pick(F.col("_d"), F.transform(A.later_copies(A.keyed(F.col("_d"), lambda t: t["norm"])), lambda p: p["i"]))
     return staged.select(*keys, F.explode(again).alias("_h")).select(*keys, "_h.pos", "_h.norm")
 
 

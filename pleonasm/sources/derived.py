@@ -149,7 +149,6 @@ _CLAIM = _case(
 )
 
 _NL = "chr(10)"
-_FIRST_LINE = f"split_part(text, {_NL}, 1)"
 # A sectioned prompt per document: instructions, four retrieved chunks, a ticket and a task.
 _PROMPT = " || ".join(
     [
@@ -162,8 +161,8 @@ _PROMPT = " || ".join(
         "'Source 3:'", _NL,
         "CASE doc_id % 4 WHEN 0 THEN 'Finance must review refunds above $500.' WHEN 1 THEN 'Uptime was 99.9% in March.'"
         " WHEN 2 THEN 'Latency dropped from 120 ms to 80 ms.' ELSE 'Customers may request a refund within 30 days.' END", _NL,
-        "'Policy excerpt:'", _NL, _FIRST_LINE, _NL,
-        "'Chunk D:'", _NL, "CASE WHEN doc_id % 5 = 0 THEN 'Latency dropped from 120 ms to 95 ms.' ELSE " + _FIRST_LINE + " END", _NL, _NL,
+        "'Policy excerpt:'", _NL, "text", _NL,
+        "'Chunk D:'", _NL, "CASE WHEN doc_id % 5 = 0 THEN 'Latency dropped from 120 ms to 95 ms.' ELSE text END", _NL, _NL,
         "'Customer Ticket:'", _NL, "'Ticket ID: SUP-' || CAST(doc_id AS STRING)", _NL,
         "'Refund amount: $' || CAST(100 + doc_id % 900 AS STRING)", _NL, _NL,
         "'Task:'", _NL, "'Draft a reply.'",
@@ -188,7 +187,7 @@ _SUPPORT = " || ".join(
 )
 
 _FILLER = (
-    "'Please please kindly answer ' || chr(32) || chr(32) || 'this , ' || " + _FIRST_LINE
+    "'Please please kindly answer ' || chr(32) || chr(32) || 'this , ' || text"
     + " || ' Thanks Thanks really really good ! You know you know. Better than X, better than Y. Please kindly reply please'"
 )
 
@@ -227,7 +226,7 @@ DERIVED: dict[str, Derived] = {
     "filler_prompts": Derived("documents", {"prompt_id": "doc_id", "source": "source", "text": _FILLER}),
     "paragraph_prompts": Derived(
         "documents",
-        {"doc_id": "doc_id", "text": f"{_FIRST_LINE} || {_NL} || {_NL} || split_part(text, {_NL}, 2) || {_NL} || {_NL} || {_FIRST_LINE}"},
+        {"doc_id": "doc_id", "text": f"text || {_NL} || {_NL} || text"},
     ),
     "number_phrases": Derived("events", {"event_id": "event_id", "phrase": number_words("(event_id % 1000)")}),
     "warning_notes": Derived(

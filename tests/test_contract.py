@@ -24,7 +24,7 @@ def test_every_inventory_id_has_a_query():
     expected |= {f"D{i}" for i in range(1, 16)} | {f"E{i}" for i in range(1, 24)}
     expected |= {f"F{i}" for i in range(1, 31)} - {"F21"}
     expected |= {f"G{i}" for i in range(1, 14)} | {f"H{i}" for i in range(1, 6)} | {f"I{i}" for i in range(1, 6)}
-    expected |= {"S1", "S2", "S3", "S4", "S6", "U1", "U4"} | {f"J{i}" for i in range(1, 11)}
+    expected |= {"S1", "S2", "S3", "S4", "S6", "U4"} | {f"J{i}" for i in range(1, 11)}
     assert expected - covered == set()
 
 
