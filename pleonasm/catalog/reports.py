@@ -391,16 +391,20 @@ _CONV_SENT = f"sent AS ({S.rows('conversations', 'conv_id, turn', S.sentences('t
 _MESSAGES = rf"""{_CONV_SENT},
   numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, {S.squeeze('sentence')} ORDER BY pos) AS copy FROM sent),
   kept AS (SELECT conv_id, turn, count(*) FILTER (WHERE copy > 1) AS dropped, string_agg(sentence, ' ' ORDER BY pos) FILTER (WHERE copy = 1) AS kept FROM numbered GROUP BY conv_id, turn),
-  msg AS (SELECT conv_id, turn, {S.tokens('role')} + 4 AS overhead, {S.tokens('text')} AS before, CASE WHEN coalesce(dropped, 0) = 0 THEN {S.tokens('text')} ELSE
-    {S.tokens(S.strip("regexp_replace(kept, '[ ]+', ' ', 'g')"))} END AS after, coalesce(dropped, 0) AS dropped FROM conversations LEFT JOIN kept USING (conv_id, turn)),
-  conv AS (SELECT conv_id, CAST(sum(before + overhead) AS BIGINT) AS original_tokens, CAST(sum(after + overhead) AS BIGINT) AS after_tokens,
-    array_to_string(list_sort(list(DISTINCT CASE WHEN dropped > 0 THEN 'exact_dedupe' ELSE 'no_change' END)), '|') AS stages FROM msg GROUP BY conv_id),
-  done AS (SELECT *, after_tokens < original_tokens AS accepted, least(after_tokens, original_tokens) AS optimized_tokens FROM conv)"""
+  vers AS (SELECT conv_id, turn, role, text, coalesce(dropped, 0) AS dropped, CASE WHEN coalesce(dropped, 0) = 0 THEN text ELSE {S.strip("regexp_replace(kept, '[ ]+', ' ', 'g')")} END AS after_text
+    FROM conversations LEFT JOIN kept USING (conv_id, turn)),
+  msg AS (SELECT *, {S.tokens('role')} + 4 AS overhead, {S.tokens('text')} AS before, {S.tokens('after_text')} AS after FROM vers),
+  {S.grammar('vers', 'conv_id, turn', 'after_text')}, {S.similarity('vers', 'conv_id, turn', 'text', 'after_text')},
+  gated AS (SELECT msg.*, {S.same_facts('text', 'after_text')} AND coalesce(flags, '') = '' AND after <= before AND after / CAST(greatest(before, 1) AS DOUBLE) >= 0.45 AND (text = after_text OR sim >= 0.72) AS ok,
+    CASE WHEN text = after_text THEN 1.0::DOUBLE ELSE sim END AS similarity FROM msg LEFT JOIN grammar USING (conv_id, turn) JOIN scored USING (conv_id, turn)),
+  conv AS (SELECT conv_id, bool_and(ok) AS passed, min(similarity) AS min_similarity, CAST(sum(before + overhead) AS BIGINT) AS original_tokens, CAST(sum(after + overhead) AS BIGINT) AS after_tokens,
+    array_to_string(list_sort(list(DISTINCT CASE WHEN dropped > 0 THEN 'exact_dedupe' ELSE 'no_change' END)), '|') AS stages FROM gated GROUP BY conv_id),
+  done AS (SELECT *, passed AND after_tokens < original_tokens AS accepted, CASE WHEN passed AND after_tokens < original_tokens THEN after_tokens ELSE original_tokens END AS optimized_tokens FROM conv)"""
 
 
 @query(
     "F25",
-    sql=f"""WITH {_MESSAGES} SELECT conv_id, original_tokens, optimized_tokens, accepted, stages, 1.0::DOUBLE AS min_similarity,
+    sql=f"""WITH {_MESSAGES} SELECT conv_id, original_tokens, optimized_tokens, accepted, stages, min_similarity,
       round((original_tokens - optimized_tokens) / CAST(original_tokens AS DOUBLE) * 100, 2) AS savings_percent FROM done""",
 )
 def conversation_acceptance(t):

@@ -87,6 +87,39 @@ def rows(table: str, keys: str, expression: str, name: str, start: int = 0) -> s
     )
 
 
+def grammar(table: str, keys: str, text: str) -> str:
+    """Flags per text, from one row per sentence."""
+    plain = rf"regexp_replace(regexp_replace({text}, '```[\s\S]*?```', ' ', 'g'), '__PROTECTED_\d+__', 'VALUE', 'g')"
+    return rf"""gs AS ({rows(table, keys, sentences(plain), 's')}),
+    gw AS (SELECT *, regexp_extract_all(lower(s), '[A-Za-z'']+') AS w FROM gs WHERE NOT (regexp_matches(s, '^[-*•]') OR s LIKE '%:' OR regexp_matches(s, '^[A-Z][A-Za-z ]{{1,40}}:\s+\S+'))),
+    gf AS (SELECT {keys}, w[1] AS a, w[2] AS b, w[len(w)] AS z, len(w) AS n, regexp_matches(regexp_extract(s, '([^A-Za-z'']*)$', 1), '[0-9%$]') AS obj FROM gw WHERE len(w) > 0),
+    gg AS (SELECT {keys}, unnest([
+      CASE WHEN (a IN {values(L.DANGLING_WORDS)} AND NOT (n > 1 AND a = 'by' AND b LIKE '%ing')) OR (z IN {values(L.DANGLING_WORDS)} AND NOT obj) THEN 'dangling_connector_or_preposition' END,
+      CASE WHEN n = 1 AND a NOT IN {values(L.FRAGMENT_OK)} THEN 'empty_or_fragment_sentence' END,
+      CASE WHEN a IN {values(L.MODAL_STARTERS)} THEN 'missing_subject_before_modal' END,
+      CASE WHEN n > 1 AND a IN ('the', 'a', 'an') AND b IN {values(L.ORPHAN_STARTERS)} THEN 'missing_subject_before_verb' END,
+      CASE WHEN n > 1 AND z IN {values(L.ORPHAN_ENDERS)} AND NOT obj THEN 'orphan_verb_end' END,
+      CASE WHEN a IN {values(L.ORPHAN_STARTERS)} AND NOT (n > 1 AND a = 'do' AND b = 'not') THEN 'orphan_verb_start' END]) AS flag FROM gf
+      UNION ALL SELECT {keys}, unnest([CASE WHEN contains({text}, '  ') THEN 'double_spaces' END, CASE WHEN regexp_matches({plain}, '\s+[,.!?;:]') THEN 'broken_punctuation' END]) FROM {table}),
+    grammar AS (SELECT {keys}, coalesce(string_agg(DISTINCT flag, '|' ORDER BY flag), '') AS flags FROM gg GROUP BY {keys})"""
+
+
+def similarity(table: str, keys: str, a: str, b: str) -> str:
+    """Named query `scored` (keys, sim): the larger of the Jaccard share of words and 0.85 times the Dice share of runs of three words."""
+    words_of = lambda t: f"regexp_extract_all(lower({t}), '[A-Za-z0-9''-]+')"
+    runs = lambda w: f"CASE WHEN len({w}) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len({w}) - 2, 1) + 1), lambda i: array_to_string({w}[i:i + 2], ' '))) END"
+    return f"""split_words AS MATERIALIZED (SELECT {keys}, {words_of(a)} AS wa, {words_of(b)} AS wb FROM {table}),
+    word_sets AS MATERIALIZED (SELECT {keys}, list_distinct(wa) AS da, list_distinct(wb) AS db, {runs('wa')} AS ra, {runs('wb')} AS rb FROM split_words),
+    shared_sets AS (SELECT *, len(list_intersect(da, db)) AS n_words, len(list_intersect(ra, rb)) AS n_runs FROM word_sets),
+    scored AS (SELECT {keys}, round(greatest(n_words / CAST(greatest(1, len(da) + len(db) - n_words) AS DOUBLE), 0.85::DOUBLE * (2.0::DOUBLE * n_runs / greatest(1, len(ra) + len(rb)))), 3) AS sim FROM shared_sets)"""
+
+
+def same_facts(before: str, after: str) -> str:
+    """Numbers, addresses and ids of `before` all stand in `after`."""
+    found = lambda t: rf"regexp_extract_all({t}, '(?i)https?://[^\s)>\"]+|[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}|[A-Z]{{2,}}(?:-[A-Z0-9]+)+|\d+(?:\.\d+)?')"
+    return f"list_has_all(list_concat({found(after)}, ['']), {found(before)})"
+
+
 def render_list(items: str, word: str = "and") -> str:
     return (
         f"CASE WHEN len({items}) <= 1 THEN array_to_string({items}, '') WHEN len({items}) = 2 THEN array_to_string({items}, ' {word} ')"
