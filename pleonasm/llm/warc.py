@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -96,8 +97,8 @@ def write_archives(
     rows of one id are all responses or all revisits. Other columns are not read, an empty table gives no records.
 
     Spark's text sink writes the files: a WARC record ends with two line ends, which is the separator of its rows. So
-    writing is retried and committed as for any other table, and goes wherever Spark can write. A file holds at most
-    `records_per_file` records.
+    writing is retried and committed as for any other table, and goes wherever Spark can write. A file is compressed
+    with gzip and holds at most `records_per_file` records.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     date = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date is None else date
@@ -110,7 +111,7 @@ def write_archives(
     # The largest one is the response; a null id is compared as different.
     joined = joined.withColumn("original", F.when(~F.col("record_id").eqNullSafe(F.col("original")), F.col("original")))
     texts = record_texts(joined, "record_id", "url", "payload", date)
-    texts.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    texts.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -149,7 +150,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for headers, block in parse_records(content.as_buffer().to_pybytes()):
+                for headers, block in parse_records(gzip.decompress(content.as_buffer())):
                     kind, digest, size, payload = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:"), None, None
                     if kind == "response":
                         body = block[block.index(b"\r\n\r\n") + 4 :]
@@ -160,7 +161,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "payload_bytes" else pa.string()) for n, c in zip(names, columns, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.gz").load(path).select("content")
     return files.mapInArrow(run, schema)
 
 

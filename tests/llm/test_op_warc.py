@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -40,7 +41,7 @@ def test_round_trip(spark, tmp_path, shortest, per_file):
 
 def test_headers_are_fresh_and_whole(spark, tmp_path):
     W.write_archives(spark.createDataFrame(ROWS, SCHEMA).coalesce(1), f"file://{tmp_path}/a")
-    content = b"".join(p.read_bytes() for p in sorted((tmp_path / "a").glob("part-*")))
+    content = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "a").glob("part-*")))
     records = list(W.parse_records(content))
     assert len(records) == len(ROWS)
     for headers, block in records:
