@@ -113,11 +113,10 @@ def nearest_vectors(t):
     f AS (SELECT doc_id, tokens, len(tokens) AS n, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, {S.q(r'(?i)https?://[^\s)>"]+')}), regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b'), regexp_extract_all(text, '\\b[A-Z]{{2,}}(?:-[A-Z0-9]+)+\\b'), regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?\\b'), regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?%'), regexp_extract_all(text, '\\$\\d[\\d,]*(?:\\.\\d+)?\\b')))), '|') AS facts FROM d WHERE len(tokens) > 0),
     p AS (SELECT b.doc_id, a.doc_id AS stored, round(len(list_intersect(a.tokens, b.tokens)) / CAST(a.n + b.n - len(list_intersect(a.tokens, b.tokens)) AS DOUBLE), 6) AS similarity
       FROM f a JOIN f b ON a.facts = b.facts AND a.doc_id < b.doc_id AND a.n >= 0.92 * b.n - 0.001 AND b.n >= 0.92 * a.n - 0.001)
-    SELECT doc_id, max(similarity) AS similarity FROM p WHERE similarity >= 0.92 GROUP BY doc_id""",
+    SELECT doc_id, stored, similarity FROM p WHERE similarity >= 0.92 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, stored) = 1""",
 )
 def safe_cache_matches(t):
-    found = similarity.safe_cache_matches(t.documents, "doc_id")
-    return found.groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
+    return similarity.safe_cache_matches(t.documents, "doc_id").select("doc_id", "stored", "similarity")
 
 
 _SPANS = """spans AS (SELECT o_custkey AS prompt_id, CAST(o_orderkey % 1000 AS BIGINT) AS start, CAST(o_orderkey % 1000 + 20 + o_custkey % 300 AS BIGINT) AS "end", CAST(o_totalprice AS BIGINT) AS rank FROM orders)"""

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from pleonasm.catalog import query
 from pleonasm.catalog import sqltext as S
+from pleonasm.session import shared_folder
 from pleonasm.sources.derived import DERIVED
 from pleonasm.streaming import feed
 
 _LOG = S.source("trace_log")
 
 
+def _path(t) -> str:
+    """A new folder in the one all executors share."""
+    return f"{shared_folder(t.spark).rstrip('/')}/feed-{uuid4().hex}"
+
+
 def _feed(t):
     # A glob fits a single file as well as a folder of files.
     columns = {**DERIVED["trace_log"].columns, "user_id": "user_id"}
@@ -20,7 +28,7 @@ def _feed(t):
 
 @query("S1", sql=f"WITH {_LOG} SELECT cache_key, count(*) - 1 AS hits FROM trace_log GROUP BY cache_key")
 def stream_first_requests(t):
-    firsts = feed.run_available(feed.first_requests(_feed(t), "cache_key"))
+    firsts = feed.run_available(feed.first_requests(_feed(t), "cache_key"), _path(t))
     arrivals = t.derived("trace_log").groupBy("cache_key").agg(F.count("*").alias("_n"))
     seen = firsts.groupBy("cache_key").agg(F.count("*").alias("_f"))
     return arrivals.join(seen, "cache_key").select("cache_key", (F.col("_n") - F.col("_f")).alias("hits"))
@@ -35,7 +43,7 @@ _TOKENS = "count(*) AS requests, CAST(sum(original_tokens) AS BIGINT) AS origina
     SELECT strftime(ws, '%Y-%m-%d %H:%M') AS window_start, provider, {_TOKENS} FROM w WHERE ws + INTERVAL 1 DAY <= top - INTERVAL 1 HOUR GROUP BY ws, provider""",
 )
 def stream_daily_savings(t):
-    daily = feed.run_available(feed.window_savings(_feed(t), ["provider"], "1 day"))
+    daily = feed.run_available(feed.window_savings(_feed(t), ["provider"], "1 day"), _path(t))
     return daily.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "provider", "requests", "original_tokens", "optimized_tokens")
 
 
@@ -45,7 +53,7 @@ def stream_daily_savings(t):
     SELECT strftime(ws, '%Y-%m-%d %H:%M') AS window_start, {_TOKENS} FROM w WHERE ts >= ws AND ts < ws + INTERVAL 1 DAY AND ws + INTERVAL 1 DAY <= top - INTERVAL 1 HOUR GROUP BY ws""",
 )
 def stream_sliding_savings(t):
-    sliding = feed.run_available(feed.window_savings(_feed(t), [], "1 day", "12 hours"))
+    sliding = feed.run_available(feed.window_savings(_feed(t), [], "1 day", "12 hours"), _path(t))
     return sliding.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "requests", "original_tokens", "optimized_tokens")
 
 
@@ -57,14 +65,13 @@ def stream_sliding_savings(t):
     HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM trace_log) - INTERVAL 1 HOUR""",
 )
 def stream_sessions(t):
-    sessions = feed.run_available(feed.user_sessions(_feed(t), "cache_key", "6 hours"))
+    sessions = feed.run_available(feed.user_sessions(_feed(t), "cache_key", "6 hours"), _path(t))
     return sessions.select("cache_key", F.date_format("session_start", "yyyy-MM-dd HH:mm").alias("session_start"), "requests", "tokens")
 
 
-@query("S4")
+@query("S4", sql=f"WITH {_LOG} SELECT cache_key, count(*) - 1 AS hits, CAST(sum(greatest(0, original_tokens - optimized_tokens)) AS BIGINT) AS saved_tokens FROM trace_log GROUP BY cache_key")
 def stream_running_hits(t):
-    totals = feed.run_available(feed.running_hits(_feed(t)))
-    return totals.groupBy("cache_key").agg(F.max("hits").alias("hits"), F.max("saved_tokens").alias("saved_tokens"))
+    return feed.running_hits(_feed(t), _path(t))
 
 
 @query(
@@ -73,4 +80,4 @@ def stream_running_hits(t):
 )
 def stream_upserted_traces(t):
     rows = _feed(t).select("cache_key", "request_id", "ts", "original_tokens")
-    return feed.upsert_traces(rows, "cache_key", ["ts", "request_id"]).select("cache_key", "request_id", "original_tokens")
+    return feed.upsert_traces(rows, _path(t), "cache_key", ["ts", "request_id"]).select("cache_key", "request_id", "original_tokens")

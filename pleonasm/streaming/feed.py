@@ -7,16 +7,13 @@ a scheduled catch-up run use it; the same DataFrame runs continuously with anoth
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from pleonasm.operators.analytics import latest_per_key
-from pleonasm.session import shared_folder
 
 
 def read_feed(spark: SparkSession, path: str, columns: dict[str, str], ts: str = "ts") -> DataFrame:
@@ -29,20 +26,27 @@ def read_feed(spark: SparkSession, path: str, columns: dict[str, str], ts: str =
     return raw.selectExpr(*[f"{expression} AS {name}" for name, expression in columns.items()])
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there, write it to a table in the shared folder and read the table back."""
-    base = f"{shared_folder(stream.sparkSession)}/feed-{uuid.uuid4().hex}"
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Process what is there, write it to `<path>/table` and read the table back; `<path>/state` keeps the progress.
+
+    The next run over the same path goes on where this one stopped.
+    """
     schema = stream.schema
     query = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
-        .option("path", f"{base}/table")
-        .option("checkpointLocation", f"{base}/state")
+        .option("path", f"{path}/table")
+        .option("checkpointLocation", f"{path}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(schema).parquet(f"{base}/table")
+    return stream.sparkSession.read.schema(schema).parquet(f"{path}/table")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows a query dropped because they came after its watermark, over the progress it still reports."""
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
 
 
 def first_requests(feed: DataFrame, key: str, ts: str = "ts", horizon: str = "60 days") -> DataFrame:
@@ -75,43 +79,43 @@ def user_sessions(feed: DataFrame, user: str, gap: str, ts: str = "ts", late: st
     return grouped.select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "requests", "tokens")
 
 
-def _count_hits(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Running totals of one key. A hot key arrives in Arrow batches and is never held as a whole."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    requests, saved = state.get if state.exists else (0, 0)
-    newest = 0
-    for batch in batches:
-        requests += len(batch)
-        saved += int(batch["saved_tokens"].sum())
-        newest = max(newest, int(batch["ts_ms"].max()))
-    state.update((requests, saved))
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 30 * 24 * 3600 * 1000)
-    yield pd.DataFrame({"cache_key": [key[0]], "hits": [requests - 1], "saved_tokens": [saved]})
-
-
-def running_hits(feed: DataFrame, ts: str = "ts", late: str = "60 days") -> DataFrame:
-    """Hits and saved tokens per cache key so far; a key idle for 30 days is forgotten."""
-    saved = F.greatest(F.lit(0), F.col("original_tokens") - F.col("optimized_tokens")).cast("long")
-    keyed = feed.withWatermark(ts, late).select("cache_key", ts, saved.alias("saved_tokens"), F.unix_millis(ts).alias("ts_ms"))
-    return keyed.groupBy("cache_key").applyInPandasWithState(
-        _count_hits, "cache_key string, hits long, saved_tokens long", "requests long, saved long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def running_hits(feed: DataFrame, path: str) -> DataFrame:
+    """Hits and saved tokens per cache key so far, kept in a table below `path`.
 
+    A count and a sum per key are an aggregation: a micro-batch adds its partial sums, a row for each key it has, and
+    readers sum over the batches. A repeated batch overwrites itself, no key is ever forgotten and no state grows on
+    the executors.
+    """
 
-def upsert_traces(feed: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Insert-or-replace from a stream: the newest row of each key over all micro-batches.
+    def totals(rows: DataFrame) -> DataFrame:
+        saved = F.greatest(F.lit(0), F.col("original_tokens") - F.col("optimized_tokens")).cast("long")
+        return rows.groupBy("cache_key").agg(F.count("*").alias("requests"), F.sum(saved).alias("saved_tokens"))
+
+    parts = _in_batches(feed, path, totals)
+    summed = parts.groupBy("cache_key").agg(F.sum("requests").alias("requests"), F.sum("saved_tokens").alias("saved_tokens"))
+    return summed.select("cache_key", (F.col("requests") - 1).alias("hits"), "saved_tokens")
 
-    A batch writes its newest rows under its own number, so a repeated batch overwrites itself;
-    readers take the newest row over the batches.
-    """
-    spark = feed.sparkSession
-    base = f"{shared_folder(spark)}/traces-{uuid.uuid4().hex}"
+
+def _in_batches(feed: DataFrame, path: str, of_batch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `of_batch` makes of every micro-batch, each under its own number below `<path>/table`."""
 
     def write(batch: DataFrame, number: int) -> None:
-        latest_per_key(batch, key, order).write.mode("overwrite").parquet(f"{base}/table/batch={number}")
+        of_batch(batch).write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
-    query = feed.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = feed.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return latest_per_key(spark.read.parquet(f"{base}/table").drop("batch"), key, order)
+    return feed.sparkSession.read.parquet(f"{path}/table").drop("batch")
+
+
+def upsert_traces(feed: DataFrame, path: str, key: str, order: list[str]) -> DataFrame:
+    """Insert-or-replace from a stream: the newest row of each key over all micro-batches.
+
+    A batch writes its newest rows under its own number below `path`, so a repeated batch overwrites itself; readers
+    take the newest row over the batches, and `merge_batches` folds them into one.
+    """
+    return latest_per_key(_in_batches(feed, path, lambda batch: latest_per_key(batch, key, order)), key, order)
+
+
+def merge_batches(spark: SparkSession, path: str, target: str, key: str, order: list[str]) -> None:
+    """Writes the newest row of each key over all batches below `<path>/table` as one table."""
+    latest_per_key(spark.read.parquet(f"{path}/table").drop("batch"), key, order).write.mode("overwrite").parquet(target)
