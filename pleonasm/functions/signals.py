@@ -242,6 +242,12 @@ def cluster_fingerprint(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(content, stem)))
 
 
+def cluster_content(text: Column) -> Column:
+    """Content words of a sentence without the names in it."""
+    unnamed = F.aggregate(cluster_entities(text), F.lower(text), lambda left, name: F.replace(left, F.lower(name), F.lit(" ")))
+    return let(unnamed, cluster_fingerprint)
+
+
 @reusable
 def family_fingerprint(text: Column) -> Column:
     """The second variant: letters only, a synonym is final, longer minimum lengths."""
