@@ -28,6 +28,8 @@ HEADLINE = (
     "safe_cache_matches",  # E18
     "cache_hit_ordinals",  # G12
     "stream_daily_savings",  # S2
+    "light_layer",  # J2
+    "compress_corpus",  # J1
 )
 
 

@@ -126,7 +126,7 @@ def event_values(sentence: Column) -> Column:
     return F.array_distinct(F.transform(found, light_fact_key))
 
 
-# --- polarity, modality, actions ------------------------------------------------------------------
+# --- polarity, modality, actions (the words in these patterns are fixed values) ------------------------------------------------------------------
 
 
 def cluster_polarity(text: Column) -> Column:

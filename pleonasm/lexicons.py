@@ -362,7 +362,30 @@ PRICES = (
 DEFAULT_MODELS = {"openai": ("gpt-4o-mini", "gpt-4o"), "gemini": ("gemini-2.5-flash", "gemini-2.5-flash")}
 
 MAX_REQUEST_BYTES = 5_000_000
-MODEL_STAGE_TOKEN_LIMIT = 900
 TIME_SENSITIVE = (
     r"(?i)\b(?:today|now|current|latest|this week|this month|yesterday|tomorrow|price|weather|news)\b"
 )
+
+# Canonical sentences of evidence units.
+EVIDENCE_TEXTS = {
+    "verification": "Verification rule: agents must verify ",
+    "approval": ("Refund rule: refunds over ", " require Finance approval."),
+    "window": "Refund window: customers may request a refund within 30 days if usage remains within trial limits.",
+    "latency": "Latency metric: latency dropped from ",
+    "uptime": "Uptime metric: uptime was ",
+    "unknown": "Evidence: ",
+}
+# Why a strategy is advised.
+ADVICE_REASONS = {
+    "tiny": "tiny prompt with low repetition; avoid processing overhead",
+    "customer_support": "support prompt contains repeated policy requirements and protected ticket facts",
+    "rag_context": "retrieved context can contain duplicate chunks and overlapping evidence",
+    "high": "high-risk content; use conservative cleanup only",
+    "other": "standard optimization strategy selected from prompt analysis",
+}
+# Fixed word list: words that carry a relation, so a span with one of them is not cut out.
+RELATION_WORDS = (
+    "is", "are", "was", "were", "has", "have", "had", "be", "been", "for", "to", "from", "with", "by", "of", "in", "on",
+    "than", "plays", "play", "represents", "represent", "proven", "evidence", "need", "needs", "required", "require",
+    "requires", "cause", "causes", "reduce", "reduces", "lower", "lowers", "increase", "increases",
+)
