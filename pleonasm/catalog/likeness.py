@@ -106,6 +106,17 @@ def nearest_vectors(t):
     return similarity.nearest_to_centroid(t.embeddings, "label", "embedding", "vec_id", 5)
 
 
+@query(
+    "E19",
+    sql="""WITH s AS (SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
+      FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query, vec_id, similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INT) AS place FROM s QUALIFY place <= 10""",
+)
+def nearest_neighbours(t):
+    """Every fiftieth vector is a query."""
+    return similarity.nearest_neighbours(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+
+
 @query(
     "E18",
     sql=f"""WITH d AS (SELECT doc_id, list_sort(list_distinct({S.norms('text')})) AS tokens, text FROM documents

@@ -126,3 +126,12 @@ def test_text_clean_up_steps(spark):
     df = spark.createDataFrame([("Why is it so  , , then",)], "text string")
     row = df.select(rows.planned_cleanup(F.col("text")).alias("p"), rows.break_before_headers(F.lit("Done. Task: go")).alias("h")).first()
     assert row.p.endswith("?") and row.h == "Done.\n\nTask: go"
+
+
+def test_neighbours_do_not_depend_on_the_block(spark, folder):
+    vectors = Tables(spark, folder).embeddings
+    queries = vectors.filter("vec_id % 7 = 0")
+    one = similarity.nearest_neighbours(vectors, queries, "vec_id", "embedding", 4)
+    many = similarity.nearest_neighbours(vectors, queries, "vec_id", "embedding", 4, block_rows=3)
+    assert one.count() == 4 * queries.count()
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
