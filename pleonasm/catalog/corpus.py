@@ -244,6 +244,27 @@ def repeated_trigrams(t):
     return dedupe.repeated_ngrams(t.documents, ["doc_id"], 3)
 
 
+@query(
+    "G6",
+    sql=f"""WITH {_norm_rows('documents', 'doc_id')}, n1 AS (SELECT doc_id, pos, norm, {', '.join(f'lead(norm, {i}) OVER o AS l{i}' for i in range(1, 10))} FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    g AS (SELECT * FROM (SELECT doc_id, pos, unnest(range(2, 11)) AS n, unnest([{', '.join(" || ' ' || ".join(['norm', *[f'l{i}' for i in range(1, n)]]) for n in range(2, 11))}]) AS ngram FROM n1) WHERE ngram IS NOT NULL),
+    f AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, n, ngram) AS first_pos FROM g)
+    SELECT doc_id, CAST(n AS INT) AS n, count(DISTINCT ngram) AS ngrams, count(*) AS times, CAST(sum(first_pos) AS BIGINT) AS first_positions FROM f
+    WHERE pos >= first_pos + n AND ngram NOT LIKE '%\\_\\_protected\\_%' ESCAPE '\\' AND NOT ngram IN {S.values(L.DOMAIN_PHRASES)} AND NOT ngram || ' ' || ngram IN {S.values(L.DOMAIN_PHRASES)}
+      AND NOT (list_contains(string_split(ngram, ' '), 'dup') AND list_contains(string_split(ngram, ' '), 'chunk'))
+    GROUP BY doc_id, n""",
+)
+def repeated_ngrams(t):
+    """All lengths from two to ten, summed up per text and length."""
+    whole = None
+    for n in range(2, 11):
+        found = dedupe.repeated_ngrams(t.documents, ["doc_id"], n).withColumn("n", F.lit(n))
+        whole = found if whole is None else whole.unionByName(found)
+    return whole.groupBy("doc_id", "n").agg(
+        F.count("*").alias("ngrams"), F.sum("times").alias("times"), F.sum(F.col("first_pos") * F.col("times")).cast("long").alias("first_positions")
+    )
+
+
 @query(
     "G7",
     sql=f"""WITH {_FILLER}, {_norm_rows('filler_prompts', 'prompt_id')}, p AS (
