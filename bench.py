@@ -29,7 +29,6 @@ HEADLINE = (
     "cache_hit_ordinals",  # G12
     "stream_daily_savings",  # S2
     "light_layer",  # J2
-    "compress_corpus",  # J1
 )
 
 
