@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +17,33 @@ from pyspark.sql import types as T
 CACHED_WORDS = 1_000_000
 
 
+#: What `_parts` and the cache rely on: tokens end at a space, and nothing but a mark joins a mark.
+_BY_WORDS = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def _by_words(tokenizer) -> bool:
+    """Whether the words of a text can be encoded one by one."""
+    file = json.loads(tokenizer.to_str())
+    plain = all(re.fullmatch(r"<\|\w+\|>", a["content"]) and not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) for a in file["added_tokens"])
+    return plain and all(file[k] == v for k, v in _BY_WORDS.items())
+
+
 class _Encoder:
-    """Token ids of a text, word by word. Tokens never span a space or a line feed, so words can be cached."""
+    """Token ids of a text, word by word: where tokens never span a space or a line feed, words can be cached.
+
+    A tokenizer file that normalises or splits in another way encodes whole texts.
+    """
 
     _shared: dict[str, _Encoder] = {}
 
@@ -25,6 +52,7 @@ class _Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _by_words(self.tokenizer)
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -36,6 +64,8 @@ class _Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = text.replace("\n", " ").split(" ")
         known = self.known
         try:
@@ -67,10 +97,11 @@ class _Encoder:
 def _parts(word: str) -> tuple[str, str]:
     """A word in the form its tokens depend on, and a mark at its end that is always a token of its own.
 
-    Tokens do not tell upper from lower case, and never join a letter with a full stop or a comma.
+    Tokens do not tell upper from lower case, and never join an ASCII letter with a full stop or a comma. Other letters
+    can end in a combining mark once they are normalised, and that joins the mark after it.
     """
-    mark = ""
-    if word[-1:] in (".", ",") and word[-2:-1].isalpha():
+    mark, before = "", word[-2:-1]
+    if word[-1:] in (".", ",") and before.isascii() and before.isalpha():
         word, mark = word[:-1], word[-1]
     return (word.lower() if word.isascii() and "<" not in word else word), mark
 

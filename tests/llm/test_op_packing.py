@@ -24,6 +24,34 @@ def test_words_encode_as_the_whole_text(tokenizer, text):
     assert found == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("letter", ["\u0130", "\u095c", "\u095d", "\ufb2a", "TAK\u0130", "\u00e9", "e\u0301"])
+@pytest.mark.parametrize("mark", [".", ","])
+def test_letters_that_end_in_a_combining_mark_keep_what_follows(tokenizer, letter, mark):
+    for text in (letter + mark, f"x {letter}{mark} x {letter}"):
+        found = np.frombuffer(_Encoder(word_tokenizer()).encode(text), "<u4").tolist()
+        assert found == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_every_letter_before_a_mark(tokenizer):
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    words = [c + mark for c in letters for mark in ".,"]
+    encoder, cut = _Encoder(word_tokenizer()), 2000
+    for at in range(0, len(words), cut):
+        text = " ".join(words[at : at + cut])
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_file_with_another_normalizer_encodes_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(word_tokenizer())
+    other.normalizer = normalizers.Sequence([normalizers.Replace("a b", "ab"), normalizers.NFC()])
+    other.save(path := str(tmp_path / "other.json"))
+    for text in ("a b c", "Word word. WORD.", "", "x a\nb"):
+        found = np.frombuffer(_Encoder(path).encode(text), "<u4").tolist()
+        assert found == other.encode(text, add_special_tokens=False).ids
+
+
 def test_balance_is_complete_and_evens_costs():
     lengths = [900, 700, 700, 300, 300, 100, 96, 1000]
     parts, over = balance(lengths, 2, 2048, 1.0, 1 / 2048)
