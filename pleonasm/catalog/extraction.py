@@ -335,12 +335,22 @@ def _entity_sql(expression: str) -> str:
       FROM ascii""",
 )
 def sentence_entities(t):
-    return _ascii_sentences(t).select(
+    """Of sentences in plain ASCII only, as its check; `sentence_entities_all_scripts` has all of them."""
+    return _entities(_ascii_sentences(t))
+
+
+def _entities(sentences):
+    return sentences.select(
         "doc_id", "pos", F.array_join(signals.named_entities(_sentence()), "|").alias("entities"),
         F.array_join(signals.cluster_entities(_sentence()), "|").alias("cluster_entities"),
     )
 
 
+@query("C15", "I3")
+def sentence_entities_all_scripts(t):
+    return _entities(rows.sentence_rows(t.documents, ["doc_id"]))
+
+
 def _stem_sql(word: str, ing: int, ed: int) -> str:
     return (
         f"CASE WHEN {word} LIKE '%ing' AND length({word}) > {ing} THEN {word}[:-4] WHEN {word} LIKE '%ed' AND length({word}) > {ed} THEN {word}[:-3]"
@@ -379,10 +389,20 @@ def fingerprints(t):
     SELECT keyword, count(*) AS sentences FROM w GROUP BY keyword""",
 )
 def keyword_counts(t):
-    words = _ascii_sentences(t).select(F.explode(signals.keywords(_sentence())).alias("keyword"))
+    """Of sentences in plain ASCII only, as its check; `keyword_counts_all_scripts` has all of them."""
+    return _keyword_counts(_ascii_sentences(t))
+
+
+def _keyword_counts(sentences):
+    words = sentences.select(F.explode(signals.keywords(_sentence())).alias("keyword"))
     return words.groupBy("keyword").agg(F.count("*").alias("sentences"))
 
 
+@query("C26")
+def keyword_counts_all_scripts(t):
+    return _keyword_counts(rows.sentence_rows(t.documents, ["doc_id"]))
+
+
 @query(
     "C28",
     sql="""SELECT o_orderkey AS pos, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey % 500 AS DOUBLE) WHEN 1 THEN CAST((o_orderkey % 9) * 1000 AS DOUBLE)

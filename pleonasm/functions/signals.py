@@ -269,15 +269,21 @@ def family_fingerprint(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(content, lemma)))
 
 
+#: Where a word begins or ends. What Java takes `\b` for differs by its version and with combining marks.
+_WORD = r"[\p{L}\p{N}_]"
+_EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_SPACE = r"[\s\x85\p{Z}]"
+
+
 def named_entities(text: Column) -> Column:
     """Capitalised runs, and the name in "my name is X"."""
-    runs = T.find_all(text, r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b")
-    names = F.regexp_extract_all(text, F.lit(r"(?i)\bmy name is\s+([a-z][a-z'-]{2,})\b"), F.lit(1))
+    runs = T.find_all(text, rf"{_EDGE}[A-Z][a-z]+(?:{_SPACE}+[A-Z][a-z]+)*{_EDGE}")
+    names = F.regexp_extract_all(text, F.lit(rf"(?i){_EDGE}my name is{_SPACE}+([a-z][a-z'-]{{2,}}){_EDGE}"), F.lit(1))
     return F.array_sort(F.array_union(runs, names))
 
 
 def cluster_entities(text: Column) -> Column:
-    runs = T.find_all(without_header(text), r"\b[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*){0,3}\b")
+    runs = T.find_all(without_header(text), rf"{_EDGE}[A-Z][A-Za-z0-9]*(?:{_SPACE}+[A-Z][A-Za-z0-9]*){{0,3}}{_EDGE}")
     kept = F.filter(runs, lambda v: ~v.isin(list(L.CLUSTER_ENTITY_STOP)))
     return F.array_sort(kept)
 
@@ -297,5 +303,5 @@ def family_entities(text: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    found = T.find_all(F.lower(text), r"\b[a-z][a-z-]{3,}\b")
+    found = T.find_all(F.lower(text), rf"{_EDGE}[a-z][a-z-]{{3,}}{_EDGE}")
     return F.array_sort(F.array_except(found, T.literal_array(L.KEYWORD_STOP)))
