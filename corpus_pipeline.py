@@ -37,18 +37,37 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def _with_row_key(docs: DataFrame) -> DataFrame:
+    """What a decision on a document comes back by: its id, which can be null or repeated, with its text; never null.
+
+    In order of `row_key` the smallest id is first and null the last.
+    """
+    return docs.withColumn("row_key", F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", F.xxhash64("text").alias("text_hash")))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id; a document without an id stays."""
-    groups = near_duplicate_prompts(docs, key="doc_id")
-    copies = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one document, that of the smallest id.
+
+    A document without an id goes in favour of one with an id, and of several only one stays. Of an id with several
+    texts each text is decided on its own (if two of them are near copies, that of the smaller hash stays), and of
+    full repeats of id and text one stays.
+    """
+    keyed = _with_row_key(docs)
+    groups = near_duplicate_prompts(keyed, key="row_key")
+    first = groups.where(F.col("component_id") == F.col("row_key")).select("row_key").distinct()
+    single = keyed.groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("doc"))  # before the join: repeats of a row are no hot key
+    return single.join(first, "row_key", "left_semi").select("doc.*")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item, with or without an id.
+
+    Of an id with several texts only those that hold one go; full repeats of a row stay or go together.
+    """
+    keyed = _with_row_key(docs)
     cases = catalog.benchmark_cases(Tables(spark, sf_dir).benchmark)
-    hit = find_benchmark_passages(docs, cases, key="doc_id").where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    hit = find_benchmark_passages(keyed, cases, key="row_key").where("n_hit > 0").select("row_key").distinct()
+    return keyed.join(hit, "row_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

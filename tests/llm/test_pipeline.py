@@ -3,6 +3,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -61,6 +62,33 @@ def test_stages_against_brute_force(spark, folder, duck, tmp_path):
     assert set(pieces) == set(clean)
 
 
+def _odd_documents(spark, folder, rows):
+    like = spark.read.parquet(f"{folder}/documents.parquet").schema
+    named = spark.createDataFrame(rows, "doc_id long, text string")
+    more = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in like if f.name not in ("doc_id", "text")}
+    return named.select(*[more.get(f.name, F.col(f.name).cast(f.dataType).alias(f.name)) for f in like]).repartition(3)
+
+
+def _left(docs):
+    return sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark, folder):
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(40)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b), (None, a), (None, c), (None, c), (9, d), (9, None), (None, "")]
+    kept = P.drop_near_duplicates(spark, _odd_documents(spark, folder, rows), folder)
+    assert kept.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+    assert _left(kept) == sorted([(3, a), (5, b), (None, c), (9, d), (9, None)], key=str)
+
+
+def test_decontamination_of_null_and_repeated_ids(spark, folder, duck):
+    (passage,) = duck.execute("SELECT text FROM benchmark ORDER BY item_id LIMIT 1").fetchone()
+    dirty, clean = f"before {passage} after", "nothing of the kind"
+    rows = [(1, dirty), (1, clean), (1, clean), (None, dirty), (None, clean), (None, None), (2, dirty), (2, dirty), (3, clean)]
+    kept = P.drop_benchmark_passages(spark, _odd_documents(spark, folder, rows), folder)
+    assert _left(kept) == sorted([(1, clean), (1, clean), (None, clean), (None, None), (3, clean)], key=str)
+
+
 def test_run_gives_the_same_pieces(spark, folder):
     rows = P.run(spark, folder)
     assert rows.columns == catalog.packed_pieces(spark.read.parquet(f"{folder}/documents.parquet")).columns and rows.count() > 0
