@@ -262,3 +262,82 @@ def op6_resolve_revisits(t: Tables) -> DataFrame:
     write_archives(t.pages.select(F.col("page_id").alias("record_id"), "url", F.col("html").alias("payload")), folder)
     records = with_original_payloads(read_archives(t.spark, folder, with_payload=False))
     return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+# CRC-32 bit by bit, the lowest bit of a byte first; windows of words are joined by one space.
+RESAMPLE_SQL = f"""
+WITH texts AS (
+  SELECT TRUE AS known, doc_id, {_WORDS_SQL} AS w FROM documents
+  UNION ALL SELECT FALSE, NULL, {_WORDS_SQL} FROM benchmark),
+features AS (
+  SELECT known, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM texts),
+counted AS (SELECT known, doc_id, f, count(*) AS n FROM features GROUP BY ALL),
+names AS (
+  SELECT f, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, len(h) + 1, 2), lambda i: list_transform([4, 5, 6, 7, 0, 1, 2, 3],
+      lambda k: ((instr('0123456789ABCDEF', h[CASE WHEN k < 4 THEN i ELSE i + 1 END]) - 1) >> (k % 4)) & 1)))),
+    lambda c, d: CASE WHEN (xor(c, d) & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM counted))),
+hashed AS (SELECT known, doc_id, n, xor(c, 4294967295) % 10000 AS bucket FROM counted JOIN names USING (f)),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (known), 0) AS s, coalesce(sum(n) FILTER (NOT known), 0) AS t FROM hashed GROUP BY bucket),
+totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM sums),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM sums, totals),
+weights AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS total FROM hashed JOIN gains USING (bucket) WHERE known GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(d.w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, coalesce(CAST((total - ((total % n_features) + n_features) % n_features) // n_features AS BIGINT), 0) AS weight,
+    CAST('0x' || substr(sha256('7:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM texts d LEFT JOIN weights ON weights.doc_id = d.doc_id WHERE known),
+noised AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM noised WHERE n_words >= 20)
+SELECT noised.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+FROM noised LEFT JOIN ranked USING (doc_id)"""
+
+
+@_query(RESAMPLE_SQL)
+def op11_resample_prompts(t: Tables) -> DataFrame:
+    from pleonasm.llm.resampling import resample_prompts
+
+    drawn = resample_prompts(prompts_of(t.documents), benchmark_cases(t.benchmark), buckets=10_000, min_words=20, percent=25, seed=7)
+    return drawn.withColumnRenamed("prompt_id", "doc_id")
+
+
+NEGATIVES_SQL = """
+WITH rows_of AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM rows_of a, rows_of b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10"""
+
+
+@_query(NEGATIVES_SQL)
+def op12_mine_hard_negatives(t: Tables) -> DataFrame:
+    """Vectors are those of prompts, labels their types; every hundredth one is an anchor."""
+    from pleonasm.llm.hard_negatives import mine_hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = t.embeddings.select(F.col("vec_id").alias("prompt_id"), F.col("embedding").alias("vector"), label.alias("prompt_type"))
+    return mine_hard_negatives(vectors, F.col("prompt_id") % 100 == 0)
+
+
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query()
+def op13_encode_prompts(t: Tables) -> DataFrame:
+    from pleonasm.llm.bpe import decoded_text, encode_prompts
+
+    encoded = encode_prompts(prompts_of(t.documents), tokenizer=byte_tokenizer())
+    return encoded.select(
+        F.col("prompt_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(decoded_text(F.col("ids"), byte_tokenizer(), encoded), 256).alias("decoded_sha256"),
+    )
