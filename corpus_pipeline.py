@@ -24,25 +24,37 @@ QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier does not reject; it learns from the labels that are not held out."""
+    """Documents the quality classifier does not reject; it learns from the labels that are not held out.
+
+    Each row is scored for itself: a null text has the score of an empty one, a null or repeated id is no reason to go.
+    All columns stay as they are, whatever their names.
+    """
     labels = catalog.labelled_prompts(Tables(spark, sf_dir).labels)
     model = learn_quality(catalog.prompts_of(docs), labels)
     return docs.where(score_column(docs, "text", model) >= QUALITY)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share."""
+    """Documents without the lines that ten or more of them share.
+
+    A null text becomes an empty one. Repeated rows count as documents of their own and stay, and so do rows without an
+    id. `n_chars` is that of the text that is left; other columns stay as they are, whatever their names.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = drop_repeated_lines(docs, key="doc_id", carry=tuple(others)).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0), *others).alias("others"))
+    kept = drop_repeated_lines(packed, key="doc_id", carry=("others",))
+    named = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return kept.select(*[named[c] if c in named else F.col("others").getField(c).alias(c) for c in docs.columns])
 
 
 def _with_row_key(docs: DataFrame) -> DataFrame:
-    """What a decision on a document comes back by: its id, which can be null or repeated, with its text; never null.
+    """(row_key, text, doc): what a decision on a document comes back by, its text, and the whole row.
 
-    In order of `row_key` the smallest id is first and null the last.
+    The key is the id, which can be null or repeated, with the text; it is never null. In order of `row_key` the
+    smallest id is first and null the last.
     """
-    return docs.withColumn("row_key", F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", F.xxhash64("text").alias("text_hash")))
+    key = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    return docs.select(key.alias("row_key"), "text", F.struct(*docs.columns).alias("doc"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +62,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A document without an id goes in favour of one with an id, and of several only one stays. Of an id with several
     texts each text is decided on its own (if two of them are near copies, that of the smaller hash stays), and of
-    full repeats of id and text one stays.
+    repeats of id and text one stays, that of the smallest hash of its other columns.
     """
     keyed = _with_row_key(docs)
     groups = near_duplicate_prompts(keyed, key="row_key")
     first = groups.where(F.col("component_id") == F.col("row_key")).select("row_key").distinct()
-    single = keyed.groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("doc"))  # before the join: repeats of a row are no hot key
+    others = F.struct(*[F.col("doc").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
+    # Before the join: repeats of a row are no hot key.
+    single = keyed.groupBy("row_key").agg(F.min_by("doc", F.xxhash64(F.to_json(others))).alias("doc"))
     return single.join(first, "row_key", "left_semi").select("doc.*")
 
 
@@ -67,11 +81,15 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     keyed = _with_row_key(docs)
     cases = catalog.benchmark_cases(Tables(spark, sf_dir).benchmark)
     hit = find_benchmark_passages(keyed, cases, key="row_key").where("n_hit > 0").select("row_key").distinct()
-    return keyed.join(hit, "row_key", "left_anti").select(*docs.columns)
+    return keyed.join(hit, "row_key", "left_anti").select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents in sequences of 2048."""
+    """Token ids of the documents in sequences of 2048.
+
+    A null or empty text is the end id alone. Repeated rows are packed each for itself, null ids are kept, and columns
+    other than `doc_id` and `text` are left behind.
+    """
     return catalog.packed_pieces(docs)
 
 
