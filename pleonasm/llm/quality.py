@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,28 +73,29 @@ def log_count_ratio(good: np.ndarray, bad: np.ndarray, smooth: float = 1.0) -> n
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def fit_svm(sets: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
+def fit_svm(sets: Sequence[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear hinge-loss model over indicators times `ratio`, by dual coordinate descent.
 
     A row is divided by the root of its number of n-grams, and classes weigh the same in all. The bias is a feature
-    of value 1.
+    of value 1. Values of a row are made when it is its turn, so nothing as large as `sets` is held besides them.
     """
     sides = np.where(labels > 0, 1.0, -1.0)
     n = len(sides)
     caps = np.where(sides > 0, cost * n / max(2 * (sides > 0).sum(), 1), cost * n / max(2 * (sides < 0).sum(), 1))
     scale = [1 / np.sqrt(max(len(s), 1)) for s in sets]
-    values = [ratio[s] * k for s, k in zip(sets, scale, strict=True)]
-    norms = np.array([v @ v + 1 for v in values])
+    norms = np.array([(v := ratio[s] * k) @ v + 1 for s, k in zip(sets, scale, strict=True)])
     w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(n)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(n):
-            gradient = sides[i] * (w[sets[i]] @ values[i] + bias) - 1
+            grams = sets[i]
+            values = ratio[grams] * scale[i]
+            gradient = sides[i] * (w[grams] @ values + bias) - 1
             new = min(max(alpha[i] - gradient / norms[i], 0.0), caps[i])
             step = (new - alpha[i]) * sides[i]
             if step:
-                w[sets[i]] += step * values[i]
+                w[grams] += step * values
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
@@ -115,7 +117,7 @@ def fit_sigmoid(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tu
     return float(max(theta[0], 1e-6)), float(theta[1])
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = 1.0, epochs: int = 8) -> Model:
+def fit(sets: Sequence[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = 1.0, epochs: int = 8) -> Model:
     """The model, with its sigmoid fitted to margins of rows that were left out of the fit (three folds)."""
     if len(set(labels.tolist())) < 2:
         always = 4.0 if len(labels) == 0 or labels[0] > 0 else -4.0
@@ -149,16 +151,18 @@ def learn_quality(
 ) -> Model:
     """Fits the classifier to labels of prompts that are not held out.
 
-    At most `most_rows` labels (those of the smallest hash of key) are used; only their texts are read into features,
-    by a broadcast of that many keys. N-grams are hashed, so a text comes to the driver as a bitmap of 16 kB whatever
-    its length. Counts of n-grams by class give log-count ratios (the naive Bayes part), which scale the indicators for
-    the linear model. Rows of a null label or key are not used; repeated rows count as often as they come. Without
-    labels of both classes every text gets the same score.
+    At most `most_rows` labelled keys (those of the smallest hash) are used; only their texts are read into features, by
+    a broadcast of that many keys. N-grams are hashed, so a text comes to the driver as a packed bitmap of 16 kB at
+    most, whatever its length. Counts of n-grams by class give log-count ratios (the naive Bayes part), which scale the
+    indicators for the linear model. Rows of a null label or key are not used. A key counts once, however many rows it
+    has: with the larger of its labels and the text of the smallest hash. Without labels of both classes every text gets
+    the same score.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key), folds))
-    sample = usable.select(F.col(key).alias("labelled"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("order"))
-    sample = sample.orderBy("order", "labelled", "label").limit(most_rows)
-    rows = prompts.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("labelled"))
+    single = usable.groupBy(F.col(key).alias("labelled")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    sample = single.withColumn("order", F.xxhash64("labelled")).orderBy("order", "labelled").limit(most_rows)
+    rows = prompts.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("labelled"))
+    rows = rows.groupBy("id").agg(F.first("order").alias("order"), F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,19 +170,44 @@ def learn_quality(
             for found in ngram_sets(batch.column(2)):
                 bits = np.zeros(FEATURES, bool)
                 bits[found] = True
-                maps.append(np.packbits(bits).tobytes())
+                maps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["order", "label", "grams"])
 
-    found = rows.select("order", "label", "text").mapInArrow(features, "order long, label int, grams binary").collect()
-    found.sort(key=lambda r: (r["order"], r["label"], bytes(r["grams"])))
-    known = np.array([r["label"] for r in found], dtype=np.int64)
-    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(r["grams"], np.uint8), count=FEATURES)) for r in found]
+    known, sets = _unpacked(rows.select("order", "label", "text").mapInArrow(features, "order long, label int, grams binary").toArrow())
     counts = {side: np.zeros(FEATURES) for side in (True, False)}
-    for grams, value in zip(sets, known, strict=True):
-        counts[bool(value > 0)][grams] += 1
+    for i, value in enumerate(known):
+        counts[bool(value > 0)][sets[i]] += 1
     return fit(sets, known, log_count_ratio(counts[True], counts[False]))
 
 
+class GramSets(Sequence):
+    """Sets of n-gram numbers as slices of one flat array."""
+
+    def __init__(self, flat: np.ndarray, ends: list[int]) -> None:
+        self.flat, self.cuts = flat, [0, *ends]
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        return self.flat[self.cuts[i] : self.cuts[i + 1]]
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, GramSets]:
+    """Labels and n-gram sets of packed bitmaps, in an order that does not depend on how rows arrived."""
+    order, labels, grams = (c.to_pylist() for c in table.columns)
+    places = sorted(range(len(order)), key=lambda i: (order[i], labels[i], grams[i]))
+    ends, total, parts = [], 0, []
+    for i in places:
+        part = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(grams[i]), np.uint8), count=FEATURES)).astype(np.int32)
+        total += len(part)
+        ends.append(total)
+        parts.append(part)
+    return np.array([labels[i] for i in places], np.int64), GramSets(np.concatenate(parts) if parts else np.zeros(0, np.int32), ends)
+
+
 def score_column(prompts: DataFrame, text: str, model: Model) -> Column:
     """The score of a text as a column: other columns of the prompts do not leave Spark."""
     shared = prompts.sparkSession.sparkContext.broadcast(model)
