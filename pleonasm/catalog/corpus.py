@@ -8,7 +8,7 @@ from pleonasm import lexicons as L
 from pleonasm.catalog import query
 from pleonasm.catalog import sqltext as S
 from pleonasm.functions import text as T
-from pleonasm.operators import dedupe, rows
+from pleonasm.operators import dedupe, rows, similarity
 from pleonasm.plans.savings import keep_first_savings
 
 _SENT = f"sent AS ({S.rows('documents', 'doc_id', S.sentences('text'), 'sentence')})"
@@ -129,12 +129,12 @@ def cleaned_texts(t):
 @query(
     "G1",
     sql=f"""WITH {_TERMINAL}, {_kept_sql(S.squeeze('sentence'), 'sent')}
-    SELECT doc_id, CAST(dropped AS INT) AS dropped_sentences, CASE WHEN dropped = 0 THEN text ELSE {_NORMAL_SPACE} END AS kept_text
-    FROM documents JOIN kept USING (doc_id)""",
+    SELECT doc_id, CAST(coalesce(dropped, 0) AS INT) AS dropped_sentences, CASE WHEN coalesce(dropped, 0) = 0 THEN text ELSE {_NORMAL_SPACE} END AS kept_text
+    FROM documents LEFT JOIN kept USING (doc_id)""",
 )
 def keep_first_sentences(t):
     kept = dedupe.with_kept_sentences(t.documents, key="squeezed")
-    return kept.filter(F.size(T.sentences(F.col("text"), T.SPLIT_TERMINAL)) > 0).select("doc_id", "dropped_sentences", "kept_text")
+    return kept.select("doc_id", "dropped_sentences", "kept_text")
 
 
 _LINE_KEY = r"trim(regexp_replace(lower(s), '[^a-z0-9$%_]+', ' ', 'g'))"
@@ -353,17 +353,16 @@ def sentences_shared(t):
 
 @query(
     "I4",
-    sql=f"""WITH p AS (SELECT b.item_id, {S.norms('b.text')} AS a, {S.norms('d.text')} AS w FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-    s AS (SELECT item_id, list_distinct(a) AS a, list_distinct(w) AS w FROM p),
-    n AS (SELECT item_id, len(a) AS na, len(w) AS nw, len(list_intersect(a, w)) AS shared FROM s)
-    SELECT item_id, round(shared / CAST(greatest(na + nw - shared, 1) AS DOUBLE), 6) AS jaccard, round(shared / CAST(greatest(least(na, nw), 1) AS DOUBLE), 6) AS overlap FROM n""",
+    sql=f"""WITH b AS (SELECT item_id, list_distinct({S.norms('text')}) AS a FROM benchmark), d AS (SELECT doc_id, list_distinct({S.norms('text')}) AS w FROM documents),
+    x AS (SELECT item_id, len(a) AS na, unnest(a) AS word FROM b), y AS (SELECT doc_id, len(w) AS nw, unnest(w) AS word FROM d),
+    n AS (SELECT item_id, doc_id, na, nw, count(*) AS shared FROM x JOIN y USING (word) GROUP BY ALL)
+    SELECT item_id, doc_id, round(shared / CAST(na + nw - shared AS DOUBLE), 6) AS jaccard, round(shared / CAST(least(na, nw) AS DOUBLE), 6) AS overlap FROM n WHERE shared >= 0.6::DOUBLE * na""",
 )
 def set_similarity(t):
-    pairs = t.benchmark.select("item_id", F.array_distinct(rows.word_norms(F.col("text"))).alias("a")).join(
-        t.documents.select(F.col("doc_id").alias("item_id"), F.array_distinct(rows.word_norms(F.col("text"))).alias("w")), "item_id"
-    )
-    a, w = F.col("a"), F.col("w")
-    return pairs.select("item_id", F.round(T.jaccard(a, w), 6).alias("jaccard"), F.round(T.overlap(a, w), 6).alias("overlap"))
+    """Each benchmark text with every document that holds three fifths of its words, whatever their numbers."""
+    items = t.benchmark.select("item_id", F.array_distinct(rows.word_norms(F.col("text"))).alias("tokens"))
+    documents = t.documents.select("doc_id", F.array_distinct(rows.word_norms(F.col("text"))).alias("tokens"))
+    return similarity.held_sets(items, documents, "item_id", "doc_id", 0.6)
 
 
 @query("F30")

@@ -77,10 +77,11 @@ def typed_facts(t):
 
 
 def _masked_counts() -> str:
-    """Counts per kind with the same order of kinds, for the patterns the check engine can run."""
+    """Counts per kind with the same order of kinds."""
     steps, text = [], "text"
     for kind, pattern in L.FACT_PATTERNS:
-        if kind == "equation":
+        if kind == "equation":  # last of all kinds, so what stands behind it may be read with it
+            steps.append((kind, r"(?i)(\b[a-zA-Z]\s*(?:\([a-zA-Z]\))?\s*=\s*[-+*/^(). 0-9a-zA-Z]*?)(?:\s+(?:appears|must)\b|[.,;:]|\n?\z)"))
             continue
         if kind == "json_block":
             pattern = r"(?s)(?:\{(?:[^{}]|(?:\{[^{}]*\}))*\}|\[(?:[^\[\]]|(?:\[[^\[\]]*\]))*\])"
@@ -90,7 +91,7 @@ def _masked_counts() -> str:
     for i, (kind, pattern) in enumerate(steps):
         ctes.append(
             f"m{i} AS (SELECT * REPLACE (regexp_replace(text, {S.q(pattern)}, '__PROTECTED_0__', 'g') AS text),"
-            f" list_filter(regexp_extract_all(text, {S.q(pattern)}), lambda v: NOT starts_with(v, '__PROTECTED_')) AS c{i} FROM {previous})"
+            f" list_filter(regexp_extract_all(text, {S.q(pattern)}, {int(kind == 'equation')}), lambda v: NOT starts_with(v, '__PROTECTED_')) AS c{i} FROM {previous})"
         )
         previous = f"m{i}"
         columns.append(f"SELECT source, '{kind}' AS kind, unnest(c{i}) AS value FROM {{last}}")
@@ -100,7 +101,7 @@ def _masked_counts() -> str:
 
 @query("C1", sql=_masked_counts())
 def fact_counts_by_source(t):
-    found = facts.typed_facts(t.documents, ["source"]).filter("kind <> 'equation'")
+    found = facts.typed_facts(t.documents, ["source"])
     return found.groupBy("source", "kind").agg(F.count("*").alias("facts"), F.count_distinct("value").alias("distinct_facts"))
 
 
@@ -316,27 +317,35 @@ def tag_counts(t):
     return tagged.groupBy("origin", *tags).agg(F.count("*").alias("sentences"))
 
 
-_ASCII_SENT = f"sent AS ({S.rows('documents', 'doc_id', S.sentences('text'), 'sentence')}), ascii AS (SELECT * FROM sent WHERE NOT regexp_matches(sentence, '[^\\x00-\\x7F]'))"
+_SENTENCES = f"sent AS ({S.rows('documents', 'doc_id', S.sentences('text'), 'sentence')})"
+# The check engine takes only ASCII letters for words. So every character that is no word character is doubled around a
+# mark, which lets one of the pair end a match and the other begin the next, and is taken back out of what was found.
+_GAP = r"[^\p{L}\p{Nd}_\p{Mn}]"
+_SPREAD = lambda text: f"regexp_replace({text}, '({_GAP})', '\\1' || chr(1) || '\\1', 'g')"
+_BLANKS = r"(?:\s\x01\s)+"
 
 
-def _ascii_sentences(t):
-    """Sentences in plain ASCII: the check engine knows no other word boundaries."""
-    return rows.sentence_rows(t.documents, ["doc_id"]).filter(~_sentence().rlike(r"[^\x00-\x7F]"))
+def _bounded(text: str, word: str) -> str:
+    """All matches of `word` between borders of words, for a text that was spread."""
+    return rf"list_transform(regexp_extract_all({text}, '(?:^|{_GAP})({word})(?:$|{_GAP})', 1), lambda v: regexp_replace(v, '(?s)\x01.', '', 'g'))"
 
 
 def _entity_sql(expression: str) -> str:
     return f"array_to_string(list_sort({expression}), '|')"
 
 
+_NAMES = _bounded(_SPREAD("sentence"), rf"[A-Z][a-z]+(?:{_BLANKS}[A-Z][a-z]+)*")
+_TOLD = rf"list_transform(regexp_extract_all({_SPREAD('sentence')}, '(?i)(?:^|{_GAP})my \x01 name \x01 is{_BLANKS}([a-z](?:[a-z]|''\x01''|-\x01-){{2,}})(?:$|{_GAP})', 1), lambda v: regexp_replace(v, '(?s)\x01.', '', 'g'))"
+_CLUSTER_NAMES = _bounded(_SPREAD(r"regexp_replace(sentence, '(?m)^\s*[A-Z][A-Za-z &/-]{1,50}:\s*', ' ', 'g')"), rf"[A-Z][A-Za-z0-9]*(?:{_BLANKS}[A-Z][A-Za-z0-9]*){{0,3}}")
+
+
 @query(
     "C15", "I3",
-    sql=rf"""WITH {_ASCII_SENT} SELECT doc_id, pos, {_entity_sql(r"list_distinct(list_concat(regexp_extract_all(sentence, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), regexp_extract_all(sentence, '(?i)\bmy name is\s+([a-z][a-z''-]{2,})\b', 1)))")} AS entities,
-      {_entity_sql(r"list_filter(regexp_extract_all(regexp_replace(sentence, '(?m)^\s*[A-Z][A-Za-z &/-]{1,50}:\s*', ' ', 'g'), '\b[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*){0,3}\b'), lambda v: NOT v IN " + S.values(L.CLUSTER_ENTITY_STOP) + ")")} AS cluster_entities
-      FROM ascii""",
+    sql=f"""WITH {_SENTENCES} SELECT doc_id, pos, {_entity_sql(f"list_distinct(list_concat({_NAMES}, {_TOLD}))")} AS entities,
+      {_entity_sql(f"list_filter({_CLUSTER_NAMES}, lambda v: NOT v IN {S.values(L.CLUSTER_ENTITY_STOP)})")} AS cluster_entities FROM sent""",
 )
 def sentence_entities(t):
-    """Of sentences in plain ASCII only, as its check; `sentence_entities_all_scripts` has all of them."""
-    return _entities(_ascii_sentences(t))
+    return _entities(rows.sentence_rows(t.documents, ["doc_id"]))
 
 
 def _entities(sentences):
@@ -346,11 +355,6 @@ def _entities(sentences):
     )
 
 
-@query("C15", "I3")
-def sentence_entities_all_scripts(t):
-    return _entities(rows.sentence_rows(t.documents, ["doc_id"]))
-
-
 def _stem_sql(word: str, ing: int, ed: int) -> str:
     return (
         f"CASE WHEN {word} LIKE '%ing' AND length({word}) > {ing} THEN {word}[:-4] WHEN {word} LIKE '%ed' AND length({word}) > {ed} THEN {word}[:-3]"
@@ -383,14 +387,17 @@ def fingerprints(t):
     )
 
 
+# A hyphen may end a keyword only before a letter it does not hold.
+_KEYWORDS = rf"list_transform(regexp_extract_all({_SPREAD('lower(sentence)')}, '(?:^|{_GAP})([a-z](?:[a-z]|-\x01-){{2,}}(?:[a-z](?:$|{_GAP})|-\x01-[\p{{L}}\p{{Nd}}_\p{{Mn}}]))', 1), lambda v: regexp_extract(regexp_replace(v, '(?s)\x01.', '', 'g'), '^[a-z-]+'))"
+
+
 @query(
     "C26",
-    sql=rf"""WITH {_ASCII_SENT}, w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(sentence), '\b[a-z][a-z-]{{3,}}\b'), lambda w: NOT w IN {S.values(L.KEYWORD_STOP)}))) AS keyword FROM ascii)
+    sql=f"""WITH {_SENTENCES}, w AS (SELECT doc_id, unnest(list_distinct(list_filter({_KEYWORDS}, lambda w: NOT w IN {S.values(L.KEYWORD_STOP)}))) AS keyword FROM sent)
     SELECT keyword, count(*) AS sentences FROM w GROUP BY keyword""",
 )
 def keyword_counts(t):
-    """Of sentences in plain ASCII only, as its check; `keyword_counts_all_scripts` has all of them."""
-    return _keyword_counts(_ascii_sentences(t))
+    return _keyword_counts(rows.sentence_rows(t.documents, ["doc_id"]))
 
 
 def _keyword_counts(sentences):
@@ -398,11 +405,6 @@ def _keyword_counts(sentences):
     return words.groupBy("keyword").agg(F.count("*").alias("sentences"))
 
 
-@query("C26")
-def keyword_counts_all_scripts(t):
-    return _keyword_counts(rows.sentence_rows(t.documents, ["doc_id"]))
-
-
 @query(
     "C28",
     sql="""SELECT o_orderkey AS pos, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey % 500 AS DOUBLE) WHEN 1 THEN CAST((o_orderkey % 9) * 1000 AS DOUBLE)

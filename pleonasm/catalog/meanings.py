@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pleonasm.catalog import query
 from pleonasm.catalog import sqltext as S
 from pleonasm.catalog.extraction import _cases
-from pleonasm.functions import families
+from pleonasm import lexicons as L
+from pleonasm.functions import families, themes
 from pleonasm.operators import meaning
 
 _SCOPE = ["prompt_id"]
@@ -94,17 +95,44 @@ def theme_clusters(t):
     return meaning.theme_clusters(found, _SCOPE).select("prompt_id", "theme", "units")
 
 
+_ALIAS_SQL = " OR ".join(f"(item = {S.q(name)} AND regexp_matches({{text}}, {S.q(pattern)}))" for name, pattern in themes._ALIASES.items())
+_REWRITE = "Keep reliability, check the order ID, watch cloud spending for trial users by Friday."
+
+
 @query(
     "F19",
-    sql=f"""WITH n AS (SELECT {_ID}, {_NOTE} AS kind FROM orders WHERE {_NOTE} IN (0, 2, 8, 9)), w AS (SELECT prompt_id,
-      sum(CASE kind WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 8 THEN 3 ELSE 5 END) AS items, sum(CASE kind WHEN 0 THEN 1 WHEN 2 THEN 1 WHEN 8 THEN 2 ELSE 2 END) AS held FROM n GROUP BY prompt_id)
-    SELECT prompt_id, CAST(items AS BIGINT) AS items, round(held / CAST(items AS DOUBLE), 3) AS recall FROM w""",
+    sql=f"""WITH n AS (SELECT {_ID}, {_PROPOSITION['concepts']} AS concepts, {_PROPOSITION['quantities']} AS quantities FROM orders WHERE {_NOTE} <> 14),
+    x AS (SELECT prompt_id, unnest(list_filter(string_split(concepts, '|'), lambda c: c <> '')) AS item, true AS concept FROM n
+      UNION ALL SELECT prompt_id, unnest(list_filter(string_split(quantities, '|'), lambda c: c <> '')), false FROM n),
+    w AS (SELECT prompt_id, count(*) AS items, count(*) FILTER (CASE WHEN concept THEN contains(lower({S.q(_REWRITE)}), lower(item)) OR {_ALIAS_SQL.format(text='lower(' + S.q(_REWRITE) + ')')} ELSE contains({S.q(_REWRITE)}, item) END) AS held FROM x GROUP BY prompt_id),
+    r AS (SELECT prompt_id, items, round(held / CAST(items AS DOUBLE), 3) AS recall FROM w)
+    SELECT prompt_id, items, recall, recall >= 0.98 AS enough FROM r""",
 )
 def information_recall(t):
-    # The rewrite keeps reliability, the order ID and cloud spending, which also stands for its cost alias.
-    notes = t.derived("theme_notes").filter("pos % 15 IN (0, 2, 8, 9)")
-    rewritten = notes.select("prompt_id").distinct().withColumn("text", F.lit("Keep reliability, check the order ID, watch cloud spending."))
-    return meaning.information_recall(meaning.proposition_rows(notes, _SCOPE), rewritten, _SCOPE, "text")
+    """What one rewrite keeps of the notes of every prompt, and whether that is enough to take it."""
+    notes = t.derived("theme_notes")
+    rewritten = notes.select("prompt_id").distinct().withColumn("text", F.lit(_REWRITE))
+    found = meaning.information_recall(meaning.proposition_rows(notes, _SCOPE), rewritten, _SCOPE, "text")
+    return found.withColumn("enough", F.col("recall") >= L.RECALL_FLOOR)
+
+
+@query(
+    "F17", "F19", "J1",
+    sql=f"""WITH n AS (SELECT {_ID}, CASE WHEN {_NOTE} IN (8, 9, 10) THEN 'operational_business_outcome' ELSE {_PROPOSITION['theme']} END AS theme, {_PROPOSITION['polarity']} AS polarity, {_NOTE} AS kind FROM orders WHERE {_NOTE} < 13),
+    g AS (SELECT prompt_id, theme, count(*) AS units, min(pos) AS first_pos, list(kind ORDER BY pos) AS kinds, list_sort(list_distinct(list(kind))) AS k, arg_min(kind, pos) AS lead FROM n
+      GROUP BY prompt_id, theme HAVING count(*) >= 2 AND (count(DISTINCT polarity) = 1 OR theme = 'reliability_constraint'))
+    SELECT prompt_id, theme, first_pos, CAST(units AS INT) AS sentences, CASE theme
+        WHEN 'reliability_constraint' THEN CASE WHEN list_contains(k, 1) THEN 'The migration must preserve ' ELSE 'The system must preserve ' END || CASE WHEN lead = 0 THEN 'reliability, availability, and customer experience.' ELSE CASE WHEN list_contains(k, 0) THEN 'availability, customer experience, and reliability.' ELSE 'availability and customer experience.' END END
+        WHEN 'support_verification' THEN 'Agents must verify ' || CASE WHEN len(k) = 2 THEN CASE WHEN lead = 2 THEN 'order ID, customer email, purchase date, and product SKU.' ELSE 'purchase date, product SKU, order ID, and customer email.' END WHEN k[1] = 2 THEN 'order ID and customer email.' ELSE 'purchase date and product SKU.' END
+        WHEN 'product_benefit' THEN CASE WHEN lead = 4 THEN 'The platform ' ELSE 'The product ' END || CASE WHEN len(k) = 2 THEN CASE WHEN lead = 4 THEN 'saves time, reduces manual work, and improves reporting accuracy.' ELSE 'improves reporting accuracy, saves time, and reduces manual work.' END ELSE 'saves time and reduces manual work.' END
+        WHEN 'security_constraint' THEN 'Do not reveal ' || CASE WHEN len(k) = 2 THEN CASE WHEN lead = 6 THEN 'API keys, secrets, access tokens, and credentials.' ELSE 'access tokens, credentials, API keys, and secrets.' END WHEN k[1] = 6 THEN 'API keys and secrets.' ELSE 'access tokens and credentials.' END
+        WHEN 'deadline_requirement' THEN 'The team must submit the report before Friday.' WHEN 'access_constraint' THEN 'Trial users cannot access the feature.' END AS line
+    FROM g WHERE theme IN ('support_verification', 'security_constraint', 'deadline_requirement', 'access_constraint') OR (theme = 'product_benefit' AND list_contains(k, 4)) OR (theme = 'reliability_constraint' AND list_contains(k, 1))""",
+)
+def theme_lines(t):
+    """The line that can stand for the sentences of a theme; none of these says all of a cost statement."""
+    lines = meaning.theme_lines(t.derived("theme_notes"), _SCOPE)
+    return lines.select("prompt_id", "theme", "first_pos", F.size("positions").alias("sentences"), "line")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from pleonasm import lexicons as L
@@ -10,7 +12,8 @@ from pleonasm.catalog import sqltext as S
 from pleonasm.functions import signals, text as T
 from pleonasm.operators import analytics, cost, dedupe, features, rows
 from pleonasm.plans import reports
-from pleonasm.sources import messages
+from pleonasm.session import shared_folder
+from pleonasm.sources import keyed, messages
 
 # --- prompts ----------------------------------------------------------------------------------------
 
@@ -285,6 +288,37 @@ def response_cache(t):
     return analytics.response_cache(t.derived("trace_log")).select("cache_key", "response", "saved_tokens", "hits")
 
 
+def _halves(t):
+    """The log as two batches, the later requests after the earlier ones."""
+    log = t.derived("trace_log")
+    return [log.filter("request_id % 3 <> 2"), log.filter("request_id % 3 = 2")]
+
+
+def _merged(t, table, rows):
+    for number, part in enumerate(_halves(t)):
+        table.merge(rows(part), number)
+    return table.read()
+
+
+@query("A5", "A3", sql=f"WITH {_CACHE} SELECT cache_key, response, saved_tokens, hits, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM cache")
+def merged_response_cache(t):
+    """The cache after two batches of the log, the second merged into what the first left."""
+    table = keyed.response_cache_table(t.spark, f"{shared_folder(t.spark).rstrip('/')}/cache-{uuid4().hex}")
+    rows = _merged(t, table, keyed.cache_entries)
+    return rows.select("cache_key", "response", "saved_tokens", (F.col("requests") - 1).alias("hits"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("A3", "S6", sql=f"WITH {S.source('trace_log')} SELECT request_id, provider, original_tokens FROM trace_log")
+def merged_traces(t):
+    """The trace log after two batches, of which the second brings every trace of the first again, older."""
+    table = keyed.trace_table(t.spark, f"{shared_folder(t.spark).rstrip('/')}/traces-{uuid4().hex}")
+    first, second = (part.select("request_id", "ts", "provider", "original_tokens") for part in _halves(t))
+    table.merge(first, 0)
+    stale = first.select("request_id", (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("stale").alias("provider"), F.lit(0).cast("long").alias("original_tokens"))
+    table.merge(second.unionByName(stale), 1)
+    return table.read().select("request_id", "provider", "original_tokens")
+
+
 @query(
     "F2",
     sql=f"WITH {_CACHE} SELECT count(*) AS entries, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(saved_tokens) AS BIGINT) AS saved_tokens, round(sum(hits) / CAST(greatest(1, sum(hits) + count(*)) AS DOUBLE) * 100, 2) AS hit_rate FROM cache",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pleonasm import lexicons as L
 from pleonasm.catalog import query
 from pleonasm.catalog import sqltext as S
+from pleonasm.catalog.corpus import _TERMINAL, _kept_sql
 from pleonasm.operators import evidence, rows
 
 _KEYS = ["prompt_id"]
@@ -58,16 +59,19 @@ def named_section_bodies(t):
     )
 
 
-# What each chunk states, from the columns the prompts were built of. A first line of a document is
-# unknown evidence; chunks 4 and 5 carry the same one unless the fifth reports a latency.
-_UNITS = """units AS (
+# What each chunk states, from the columns the prompts were built of. The text of a document is unknown evidence;
+# chunks 4 and 5 carry the same one unless the fifth reports a latency.
+_UNITS = f"""{_TERMINAL}, {_kept_sql(S.squeeze('sentence'), 'sent')}, told AS (SELECT doc_id, coalesce(kept, '') AS body FROM documents LEFT JOIN kept USING (doc_id)),
+  units AS (
   SELECT doc_id AS prompt_id, 1 AS chunk_no, 'verification_rule' AS theme, 'Verification rule: agents must verify order ID and customer email.' AS canonical FROM documents
   UNION ALL SELECT doc_id, 2, 'verification_rule', 'Verification rule: agents must verify order ID and purchase date.' FROM documents
   UNION ALL SELECT doc_id, 2, 'refund_approval_rule', 'Refund rule: refunds over $' || CAST(500 + 100 * (doc_id % 3) AS STRING) || ' require Finance approval.' FROM documents
   UNION ALL SELECT doc_id, 3, CASE doc_id % 4 WHEN 0 THEN 'refund_approval_rule' WHEN 1 THEN 'uptime_metric' WHEN 2 THEN 'latency_metric' ELSE 'refund_window_rule' END,
     CASE doc_id % 4 WHEN 0 THEN 'Refund rule: refunds over $500 require Finance approval.' WHEN 1 THEN 'Uptime metric: uptime was 99.9% in March.' WHEN 2 THEN 'Latency metric: latency dropped from 120 ms to 80 ms.'
       ELSE 'Refund window: customers may request a refund within 30 days if usage remains within trial limits.' END FROM documents
-  UNION ALL SELECT doc_id, 5, 'latency_metric', 'Latency metric: latency dropped from 120 ms to 95 ms.' FROM documents WHERE doc_id % 5 = 0)"""
+  UNION ALL SELECT doc_id, 5, 'latency_metric', 'Latency metric: latency dropped from 120 ms to 95 ms.' FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 4, 'unknown_evidence', 'Evidence: ' || body FROM told
+  UNION ALL SELECT doc_id, 5, 'unknown_evidence', 'Evidence: ' || body FROM told WHERE doc_id % 5 <> 0)"""
 
 
 def _units(t):
@@ -76,7 +80,7 @@ def _units(t):
 
 @query("C22", sql=f"WITH {_UNITS} SELECT prompt_id, chunk_no, theme, canonical FROM units")
 def evidence_units(t):
-    return _units(t).filter("theme <> 'unknown_evidence'").select("prompt_id", "chunk_no", "theme", "canonical")
+    return _units(t).select("prompt_id", "chunk_no", "theme", "canonical")
 
 
 _SAME_LINE = "doc_id % 5 <> 0"
@@ -99,11 +103,11 @@ def duplicate_graph(t):
 @query(
     "E13", "F9", "J9",
     sql=f"""WITH {_UNITS}, {_EDGES} SELECT prompt_id, theme, contradiction, CASE WHEN NOT contradiction THEN arg_min(canonical, (length(canonical), chunk_no)) END AS canonical
-      FROM edges JOIN units USING (prompt_id, theme) WHERE theme <> 'unknown_evidence' GROUP BY prompt_id, theme, contradiction""",
+      FROM edges JOIN units USING (prompt_id, theme) GROUP BY prompt_id, theme, contradiction""",
 )
 def evidence_groups(t):
     groups = evidence.evidence_groups(evidence.with_groups(_units(t), _KEYS), _KEYS)
-    return groups.filter("theme <> 'unknown_evidence'").select("prompt_id", "theme", "contradiction", "canonical")
+    return groups.select("prompt_id", "theme", "contradiction", "canonical")
 
 
 @query(
@@ -114,29 +118,38 @@ def evidence_groups(t):
 def unique_evidence(t):
     grouped = evidence.with_groups(_units(t), _KEYS)
     left = evidence.unique_units(grouped, evidence.evidence_groups(grouped, _KEYS), _KEYS)
-    return left.filter("theme <> 'unknown_evidence'").select("prompt_id", "theme", "chunk_no", "canonical")
+    return left.select("prompt_id", "theme", "chunk_no", "canonical")
+
+
+# The compiled text, block by block: canonical lines, lines no group stands for, chunks kept whole, chunks in conflict.
+_PRINTED = """printed AS (
+  SELECT doc_id AS prompt_id, 1 AS chunk_no, 'Chunk A' || CAST(doc_id % 10 AS STRING) || ':' || chr(10) || 'Agents must verify the order ID and the customer email.' AS piece FROM documents
+  UNION ALL SELECT doc_id, 2, 'Chunk B:' || chr(10) || 'Refunds over $' || CAST(500 + 100 * (doc_id % 3) AS STRING) || ' require Finance approval. Confirm the order ID, purchase date.' FROM documents
+  UNION ALL SELECT doc_id, 3, 'Source 3:' || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'Finance must review refunds above $500.' WHEN 1 THEN 'Uptime was 99.9% in March.' WHEN 2 THEN 'Latency dropped from 120 ms to 80 ms.' ELSE 'Customers may request a refund within 30 days.' END FROM documents
+  UNION ALL SELECT doc_id, 4, 'Policy excerpt:' || chr(10) || body FROM told
+  UNION ALL SELECT doc_id, 5, 'Chunk D:' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'Latency dropped from 120 ms to 95 ms.' ELSE body END FROM told)"""
+_COMPILED = f"""{_UNITS}, {_EDGES}, {_PRINTED},
+  grouped AS (SELECT prompt_id, theme, canonical_chunk AS a, duplicate_chunk AS b, contradiction FROM edges),
+  shown AS (SELECT prompt_id, theme, a, b, arg_min(canonical, (length(canonical), chunk_no)) AS canonical FROM grouped JOIN units USING (prompt_id, theme) WHERE NOT contradiction GROUP BY ALL),
+  c AS (SELECT prompt_id, string_agg('- ' || canonical, chr(10) ORDER BY a, b, theme) AS part FROM shown GROUP BY prompt_id),
+  left_over AS (SELECT prompt_id, chunk_no, theme, canonical FROM units ANTI JOIN shown USING (prompt_id, theme)
+    QUALIFY row_number() OVER (PARTITION BY prompt_id, theme, canonical ORDER BY chunk_no) = 1),
+  u AS (SELECT prompt_id, string_agg('- ' || canonical, chr(10) ORDER BY chunk_no, theme DESC) AS part FROM left_over GROUP BY prompt_id),
+  k AS (SELECT prompt_id, piece AS part FROM printed WHERE chunk_no = 4 AND prompt_id % 5 = 0),
+  x AS (SELECT prompt_id, string_agg(piece, chr(10) || chr(10) ORDER BY chunk_no) AS part FROM (SELECT DISTINCT prompt_id, chunk_no, piece FROM printed JOIN grouped USING (prompt_id) WHERE contradiction AND chunk_no IN (a, b)) GROUP BY prompt_id),
+  blocks AS (SELECT p.prompt_id, p.text, concat_ws(chr(10) || chr(10), 'Canonical Evidence:' || chr(10) || c.part, 'Unique Evidence:' || chr(10) || u.part, 'Preserved Unique Chunks:' || chr(10) || k.part, 'Contradictory Evidence Preserved:' || chr(10) || x.part) AS block
+    FROM chunk_prompts p LEFT JOIN c USING (prompt_id) LEFT JOIN u USING (prompt_id) LEFT JOIN k USING (prompt_id) LEFT JOIN x USING (prompt_id)),
+  whole AS (SELECT prompt_id, text, 'You help customers.' || chr(10) || 'System Instructions:' || chr(10) || 'Answer briefly. Never promise approval.' || chr(10) || block || chr(10) || chr(10)
+    || 'Customer Ticket:' || chr(10) || 'Ticket ID: SUP-' || CAST(prompt_id AS STRING) || chr(10) || 'Refund amount: $' || CAST(100 + prompt_id % 900 AS STRING) || chr(10) || chr(10) || 'Task:' || chr(10) || 'Draft a reply.' AS compiled FROM blocks)"""
 
 
 @query(
     "F23", "J9",
-    sql=f"""WITH {_EDGES}, c AS (SELECT prompt_id, bool_or(contradiction) AS conflict FROM edges GROUP BY prompt_id)
-    SELECT prompt_id, true AS has_canonical, conflict AS has_conflict, true AS keeps_ticket, true AS keeps_task FROM c""",
+    sql=f"""WITH {S.source('chunk_prompts')}, {_COMPILED} SELECT prompt_id, CASE WHEN {S.tokens('compiled')} < {S.tokens('text')} THEN compiled END AS compiled FROM whole""",
 )
 def canonical_documents(t):
-    compiled = evidence.canonical_documents(t.derived("chunk_prompts"), _KEYS)
-    has = lambda part: F.contains(F.col("c"), F.lit(part))
-    # Very short prompts can come out longer and keep their text; they are read in the form they have.
-    text = F.coalesce("compiled", "text")
-    whole = compiled.withColumn("c", text)
-    return whole.select(
-        "prompt_id",
-        (has("Canonical Evidence:\n- Verification rule: agents must verify order ID and purchase date.") | F.col("compiled").isNull()).alias("has_canonical"),
-        F.when(F.col("compiled").isNotNull(), has("Contradictory Evidence Preserved:")).otherwise(
-            ((F.col("prompt_id") % 4 == 0) & (F.col("prompt_id") % 3 != 0)) | (F.col("prompt_id") % 20 == 10)
-        ).alias("has_conflict"),
-        has("Customer Ticket:\nTicket ID: SUP-").alias("keeps_ticket"),
-        has("Task:\nDraft a reply.").alias("keeps_task"),
-    )
+    """The compiled text, or null where it would not be shorter."""
+    return evidence.canonical_documents(t.derived("chunk_prompts"), _KEYS).select("prompt_id", "compiled")
 
 
 _ITEM = "CASE WHEN o_orderkey % 2 = 0 THEN 'purchase date' ELSE 'refund reason' END"

@@ -82,6 +82,45 @@ def shared_positions(pairs: Column) -> Column:
     return F.array_sort(F.transform(shared_keys(pairs), lambda p: p["i"]))
 
 
+def running_totals(values: Column) -> Column:
+    """For each element the sum of all before it.
+
+    Sums of blocks of about the root of their number, then sums inside a block: n times the root of n in all.
+    """
+
+    def summed(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0).cast("long"), lambda total, x: total + x.cast("long"))
+
+    def build(xs: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), step), lambda at: F.slice(xs, at + 1, step))
+
+        def place(bs: Column) -> Column:
+            bases = let(F.transform(bs, summed), lambda sums: F.transform(sums, lambda s, i: summed(F.slice(sums, 1, i))))
+            return F.flatten(F.zip_with(bs, bases, lambda block, base: F.transform(block, lambda x, i: base + summed(F.slice(block, 1, i)))))
+
+        return let(blocks, place)
+
+    return let(values, build)
+
+
+def copies_and_firsts(pairs: Column) -> Column:
+    """(i, first) of the elements that have an earlier one with the same key: their index and that of the first."""
+
+    def build(ps: Column) -> Column:
+        new = F.transform(ps, lambda p, i: F.when(_same_as_previous(ps, i), 0).otherwise(1))
+        firsts = F.filter(ps, lambda p, i: ~_same_as_previous(ps, i))
+
+        def match(m: Column) -> Column:
+            group = lambda j: F.get(m["before"], j) + F.get(m["new"], j) - 1
+            both = F.transform(ps, lambda p, j: F.struct(p["i"].alias("i"), F.get(m["firsts"], group(j).cast("int"))["i"].alias("first")))
+            return F.filter(both, lambda x: x["i"] != x["first"])
+
+        return let(F.struct(new.alias("new"), running_totals(new).alias("before"), firsts.alias("firsts")), match)
+
+    return let(pairs, build)
+
+
 def pick(items: Column, positions: Column) -> Column:
     """The items at `positions`."""
     return let(items, lambda xs: F.transform(positions, lambda i: F.get(xs, i)))

@@ -384,6 +384,49 @@ ADVICE_REASONS = {
     "other": "standard optimization strategy selected from prompt analysis",
 }
 # Fixed word list: words that carry a relation, so a span with one of them is not cut out.
+# The line that stands for a theme. Least number of concepts; `{concepts}` and `{subject}` are filled in.
+THEME_LINES = {
+    "support_verification": (2, "Agents must verify {concepts}."),
+    "access_constraint": (2, "Trial users cannot access the feature."),
+    "identity_reset": (2, "Users must verify identity before reset."),
+    "latency_optimization": (2, "Index optimization reduced search latency."),
+    "approval_fact": (2, "Finance approved the budget increase."),
+    "deadline_requirement": (2, "The team must submit the report before Friday."),
+    "alias_responsibility": (2, "The release owner, also called the deployment coordinator, approves production launches."),
+    "warning_repetition": (1, "The text repeats the same warning."),
+    "product_benefit": (2, "{subject} {concepts}."),
+    "security_constraint": (2, "Do not reveal {concepts}."),
+}
+# The line on reliability, by what its sentences speak of.
+RELIABILITY_LINES = (
+    (r"(?i)\b(?:cost|costs|saving|savings|reduction|reductions)\b", "Cost reductions must not compromise {concepts}."),
+    (r"(?i)\b(?:migration|move|transition)\b", "The migration must preserve {concepts}."),
+    (r"", "The system must preserve {concepts}."),
+)
+# Lines on cost and outcome, by the concepts they need.
+OUTCOME_MECHANISMS = ("compute optimization", "efficiency improvements")
+OUTCOME_LINES = (
+    (
+        ("cloud spending", "operating margins", "financial performance"),
+        "The company lowered cloud spending{mechanism}, improving operating margins and financial performance.",
+    ),
+    (
+        ("cloud infrastructure costs", "compute optimization"),
+        "The company reduced cloud infrastructure costs through compute optimization and improved efficiency.",
+    ),
+)
+OUTCOME_MECHANISM = " through compute optimization and efficiency improvements"
+RECALL_FLOOR = 0.98
+
+# Verbs whose object a span may be.
+OBJECT_VERBS = (
+    "built", "tested", "used", "made", "created", "needs", "need", "requires", "require", "visited", "met", "called",
+    "preserve", "verify",
+)
+RELATION_VERBS = (
+    "need", "needs", "required", "require", "requires", "verify", "confirm", "check", "preserve", "remove", "delete",
+    "process", "include", "contain", "costs", "cost", "reduces", "reduce", "lowers", "lower", "increases", "increase",
+)
 RELATION_WORDS = (
     "is", "are", "was", "were", "has", "have", "had", "be", "been", "for", "to", "from", "with", "by", "of", "in", "on",
     "than", "plays", "play", "represents", "represent", "proven", "evidence", "need", "needs", "required", "require",

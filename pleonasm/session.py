@@ -27,6 +27,7 @@ def local_session(app: str = "pleonasm", cpus: str | int = "*", memory: str = "1
         .config("spark.sql.shuffle.partitions", str(parallelism))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
@@ -35,6 +36,20 @@ def local_session(app: str = "pleonasm", cpus: str | int = "*", memory: str = "1
     return spark
 
 
+def without_call_sites() -> None:
+    """Stops this process from noting the line of Python behind every column expression.
+
+    Noting it takes several calls into the JVM for each node; expressions here have thousands of nodes, so building a
+    plan takes a minute instead of seconds. Sessions made here set `spark.python.sql.dataFrameDebugging.enabled` to
+    false, which is the same. That setting cannot be changed in a session someone else has made, and only what it was
+    read as can; where a release has no such place, nothing happens. Error messages lose the line, nothing else.
+    """
+    from pyspark.errors import utils
+
+    if hasattr(utils, "_enable_debugging_cache"):
+        utils._enable_debugging_cache = False
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the one named by `spark.checkpoint.dir`.
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pleonasm.session import without_call_sites
+
 
 class Tables:
     """`tables.orders` reads `<folder>/orders.parquet`; nothing is read before an action runs."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
+        without_call_sites()
         self.spark = spark
         self.folder = folder.rstrip("/")
 

@@ -75,7 +75,7 @@ if __name__ == "__main__":
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     parts = sys.argv[2:]
-    spark, con = local_session(cpus=8), connect(folder)
+    spark, con = local_session(cpus=int(os.environ.get("ORACLE_CPUS", 8))), connect(folder)
     bad = 0
     for name, item in load().items():
         if parts and not any(p in name or p in item.covers or p == item.module for p in parts):

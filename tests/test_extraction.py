@@ -47,7 +47,7 @@ def test_borders_are_those_of_any_script(spark):
 def test_no_sentence_is_left_out(spark, folder, duck):
     sentences = duck.execute(S.rows("documents", "doc_id", S.sentences("text"), "sentence")).fetchall()
     assert any(not s.isascii() for *_, s in sentences)
-    got = load()["sentence_entities_all_scripts"].build(spark, folder).collect()
+    got = load()["sentence_entities"].build(spark, folder).collect()
     assert sorted(map(tuple, got)) == sorted((d, p, entities(s), cluster_entities(s)) for d, p, s in sentences)
-    counts = load()["keyword_counts_all_scripts"].build(spark, folder).collect()
+    counts = load()["keyword_counts"].build(spark, folder).collect()
     assert {r.keyword: r.sentences for r in counts} == Counter(k for *_, s in sentences for k in keywords(s))
