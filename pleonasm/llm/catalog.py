@@ -210,11 +210,14 @@ base AS (
   SELECT docs.doc_id, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(words) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(words) AS base_failed
   FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
-hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM base GROUP BY source),
-moments AS (SELECT least(greatest(avg(f / n), 1e-3), 1 - 1e-3) AS m, var_pop(f / n) AS v FROM hosts),
-prior AS (SELECT m, least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 1.0), 1e6) AS k FROM moments),
-bad AS (SELECT source, (f + m * k) / (n + k) >= 0.75 AS host_failed FROM hosts, prior)
-SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept
+failed AS (SELECT source, unnest(['words', 'repeats', 'symbols', 'lines']) AS rule,
+    unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 100 * n_symbols > 30 * n_words, 30 * n_dup_lines > n_words]) AS fails FROM base WHERE source IS NOT NULL),
+hosts AS (SELECT source, rule, count(*) AS n, sum(CASE WHEN fails THEN 1 ELSE 0 END) AS f FROM failed GROUP BY source, rule),
+moments AS (SELECT rule, least(greatest(avg(f / n), 1e-3), 1 - 1e-3) AS m, var_pop(f / n) AS v FROM hosts GROUP BY rule),
+prior AS (SELECT rule, m, least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 1.0), 1e6) AS k FROM moments),
+rates AS (SELECT source, m, n + k AS total, (f + m * k) / (n + k) AS rate FROM hosts JOIN prior USING (rule)),
+bad AS (SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > 3 * m) AS host_failed FROM rates GROUP BY source)
+SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(host_failed, false) AS host_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept
 FROM base LEFT JOIN bad USING (source)"""
 
 

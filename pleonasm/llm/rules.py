@@ -65,20 +65,39 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def host_verdicts(failures: DataFrame, host: str, failed: str, limit: float) -> DataFrame:
-    """(host, prompts, failures, rate, host_failed): failure rates of hosts, drawn to the rate of all hosts.
-
-    Rates are taken as draws from a beta distribution whose mean and variance are those of the hosts' own rates; a
-    host's rate is the mean of what its prompts leave of that. So a host of few prompts is not judged by them alone.
+def failed_rules(counts: str, min_words: int, most_repeated: int, most_symbols: int, line_words: int) -> dict[str, Column]:
+    """The rules a prompt can fail, by the counts in the struct `counts`."""
+    n = F.col(f"{counts}.n_words")
+    return {
+        "words": n < min_words,
+        "repeats": 100 * F.col(f"{counts}.n_repeat_words") > most_repeated * n,
+        "symbols": 100 * F.col(f"{counts}.n_symbols") > most_symbols * n,
+        "lines": line_words * F.col(f"{counts}.n_dup_lines") > n,
+    }
+
+
+def host_verdicts(failures: DataFrame, host: str, rules: list[str], excess: float, doubt: float) -> DataFrame:
+    """(host, prompts, the rates of all `rules`, host_failed): failure rates of hosts, drawn to the rate of all hosts.
+
+    For each rule, rates are taken as draws from a beta distribution whose mean and variance are those of the hosts' own
+    rates; a host's rate is the mean of what its prompts leave of that. So a host of few prompts is not judged by them
+    alone. A host fails if, for some rule, its rate less `doubt` standard deviations still lies above `excess` times
+    the mean of all hosts. Hosts that all fail alike do not stand out, however often they fail.
     """
-    counts = cut_lineage(failures.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("prompts"), F.sum(F.col(failed).cast("long")).alias("failures")))
-    own = F.col("failures") / F.col("prompts")
-    mean, spread = counts.agg(F.avg(own), F.var_pop(own)).first()
-    mean, spread = min(max(mean or 0.0, 1e-3), 1 - 1e-3), spread or 0.0
-    # Without spread all hosts share one rate: the prior weighs as much as very many prompts.
-    weight = min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 1.0), 1e6)
-    rate = (F.col("failures") + mean * weight) / (F.col("prompts") + weight)
-    return counts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") >= limit)
+    counts = cut_lineage(failures.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("prompts"), *[F.sum(F.col(r).cast("long")).alias(r) for r in rules]))
+    own = {r: F.col(r) / F.col("prompts") for r in rules}
+    moments = counts.agg(*[c for r in rules for c in (F.avg(own[r]), F.var_pop(own[r]))]).first()
+    failed, rates = F.lit(False), []
+    for i, r in enumerate(rules):
+        mean, spread = moments[2 * i : 2 * i + 2]
+        mean, spread = min(max(mean or 0.0, 1e-3), 1 - 1e-3), spread or 0.0
+        # Without spread all hosts share one rate: the prior weighs as much as very many prompts.
+        weight = min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 1.0), 1e6)
+        total = F.col("prompts") + weight
+        rate = (F.col(r) + mean * weight) / total
+        failed |= rate - doubt * F.sqrt(rate * (1 - rate) / (total + 1)) > excess * mean
+        rates.append(rate.alias(f"{r}_rate"))
+    return counts.select(host, "prompts", *rates, failed.alias("host_failed"))
 
 
 def judge_prompts(
@@ -88,23 +107,32 @@ def judge_prompts(
     host: str = "host",
     min_words: int = 20,
     most_repeated: int = 30,
-    host_limit: float = 0.75,
+    most_symbols: int = 30,
+    line_words: int = 30,
+    excess: float = 3.0,
+    doubt: float = 2.0,
 ) -> DataFrame:
-    """Applies rules to whole texts, and to hosts by how many of their prompts fail.
+    """Applies rules to whole texts, and to hosts by how many of their prompts fail each rule.
 
     Words are `[^\\x20\\x09-\\x0D]+`. A prompt fails with fewer than `min_words` words, or with more than
-    `most_repeated` percent of its words inside 8-word windows that stand in it twice. Failures are counted by host,
-    before the shuffle; a host whose shrunk rate (see `host_verdicts`) reaches `host_limit` loses its other prompts too.
+    `most_repeated` percent of its words inside 8-word windows that stand in it twice. Two more rules count for hosts
+    only: more than `most_symbols` symbols for 100 words, and more than one repeated line for `line_words` words. Failures
+    are counted by host and rule, before the shuffle. A host whose shrunk rate for a rule stands out (see
+    `host_verdicts`; `excess` times the mean, `doubt` standard deviations off) loses its other prompts too.
 
     Returns one row per input row: `key`, n_words, word_chars (code points in words), n_symbols (characters of
-    `#*$%&|<>`), n_dup_lines (lines with a word that equal an earlier one), n_repeat_words, base_failed, host_rate,
-    kept. A null or empty text has no words and fails. A null host is judged by its prompt alone (host_rate null).
+    `#*$%&|<>`), n_dup_lines (lines with a word that equal an earlier one), n_repeat_words, base_failed, host_rate (of
+    the rule on words), host_failed, kept. A null or empty text has no words and fails. A null host is judged by its
+    prompt alone (host_rate null, host_failed false); one host alone, or hosts of equal rates, do not stand out.
     Repeated rows count each, null keys are kept, other columns are not read, an empty table gives no rows.
     """
     counted = prompts.select(F.col(key).alias("id"), F.col(host).alias("host"), rule_counts(F.coalesce(F.col(text), F.lit(""))).alias("c"))
-    failed = (F.col("c.n_words") < min_words) | (100 * F.col("c.n_repeat_words") > most_repeated * F.col("c.n_words"))
-    base = cut_lineage(counted.select("id", "host", "c.*", failed.alias("base_failed")))
-    verdicts = cut_lineage(host_verdicts(base, "host", "base_failed", host_limit).select(F.col("host").alias("named"), "rate", "host_failed"))
+    rules = failed_rules("c", min_words, most_repeated, most_symbols, line_words)
+    base = cut_lineage(counted.select("id", "host", "c.*", *[c.alias(f"fails_{r}") for r, c in rules.items()]))
+    judged = host_verdicts(base, "host", [f"fails_{r}" for r in rules], excess, doubt)
+    verdicts = cut_lineage(judged.select(F.col("host").alias("named"), F.col("fails_words_rate").alias("rate"), "host_failed"))
     joined = base.join(verdicts, F.col("host") == F.col("named"), "left")
-    kept = ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))
-    return joined.select(F.col("id").alias(key), *_COUNTS, "base_failed", F.col("rate").alias("host_rate"), kept.alias("kept"))
+    failed, host_failed = F.col("fails_words") | F.col("fails_repeats"), F.coalesce("host_failed", F.lit(False))
+    return joined.select(
+        F.col("id").alias(key), *_COUNTS, failed.alias("base_failed"), F.col("rate").alias("host_rate"), host_failed.alias("host_failed"), (~failed & ~host_failed).alias("kept")
+    )

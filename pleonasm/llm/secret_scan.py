@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pleonasm.functions import arrays as A
 from pleonasm.session import cut_lineage
 
 # Kinds of finding, pattern, group that holds the value, least number of code points of the value.
@@ -20,26 +21,30 @@ _SPAN = "start long, kind int, end long, value string"
 def _found(text: Column, kind: int) -> Column:
     """Spans of one kind: leftmost matches that do not overlap, the short ones dropped.
 
-    The lengths of what lies between the matches give their places, in one pass over both arrays.
+    Places are running totals of the lengths of matches and of what lies between them.
     """
     _, pattern, group, least = KINDS[kind]
     pattern = F.lit(pattern)
     pairs = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"), F.regexp_extract_all(text, pattern, F.lit(group)).alias("value")
     )
+    # The last gap has no match behind it.
+    sized = F.transform(
+        F.filter(pairs, lambda p: p["match"].isNotNull()),
+        lambda p: F.struct(F.length(p["gap"]).cast("long").alias("gap"), F.length(p["match"]).cast("long").alias("match"), p["value"].alias("value")),
+    )
+
+    def placed(items: Column) -> Column:
+        def span(before: Column, p: Column, i: Column) -> Column:
+            start = F.get(before, i) + p["gap"]
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + p["match"]).alias("end"), p["value"].alias("value"))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), pair["value"].alias("value"))
-        kept = F.when(F.length(pair["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        # The last gap has no match behind it.
-        return F.when(pair["match"].isNull(), state).otherwise(F.struct(end.cast("long").alias("at"), kept.alias("spans")))
+        totals = A.running_totals(F.transform(items, lambda p: p["gap"] + p["match"]))
+        spans = A.let(totals, lambda before: F.transform(items, lambda p, i: span(before, p, i)))
+        return F.filter(spans, lambda s: F.length(s["value"]) >= least)
 
-    none = F.lit(None).cast(f"array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>")
-    empty = F.coalesce(none, F.array().cast(f"array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    return F.when(text.rlike(KINDS[kind][1]), F.aggregate(pairs, start, step)["spans"]).otherwise(empty)
+    empty = F.array().cast(f"array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>")
+    return F.when(text.rlike(KINDS[kind][1]), A.let(sized, placed)).otherwise(empty)
 
 
 def find_secrets(text: Column) -> Column:
@@ -98,7 +103,8 @@ def scan_secrets(
     single = scanned.where(F.size("findings") > 0).select(row, "repository", "owner", F.explode(F.array_distinct(F.transform("findings", lambda s: s["value"]))).alias("value"))
     single = single.withColumns({"secret": F.sha2("value", 256), "live": live_looking(F.col("value"))}).drop("value")
     verdict = F.when(F.col("owners") >= copied_owners, "copied").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("unclear")
-    judged = single.join(secret_ownership(single), "secret").select("row", "secret", F.struct("prompts", "repositories", "owners", verdict.alias("verdict")).alias("verdict"))
+    # Cut off from its aggregation, so that adaptive execution can split a secret of very many prompts in the join.
+    judged = single.join(cut_lineage(secret_ownership(single)), "secret").select("row", "secret", F.struct("prompts", "repositories", "owners", verdict.alias("verdict")).alias("verdict"))
     by_row = judged.distinct().groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("secret", "verdict"))).alias("verdicts"))
     whole = scanned.select(row.alias("own"), "findings")
     joined = whole.join(by_row, F.col("own").eqNullSafe(F.col("row")), "left")

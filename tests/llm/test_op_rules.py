@@ -40,6 +40,27 @@ def test_hosts_of_few_prompts_are_drawn_to_the_rest(spark):
     assert all(v == {False} for (h, ok), v in kept.items() if not ok)
     rate = found[rows.index(("tiny", bad))].host_rate
     assert 0.1 < rate < 0.5
+    assert {r.prompt_id for r in found.values() if r.host_failed} == {i for i, (h, _) in enumerate(rows) if h == "junk"}
+
+
+def test_one_host_of_many_stands_out_by_any_rule(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    kinds = {"words": "too short", "symbols": good + " $$$ ### *** &&& %%%", "lines": good + "\nsame\nsame\nsame", "repeats": "one two three four five six seven eight " * 4}
+    for rule, bad in kinds.items():
+        rows = [(f"h{h}", bad if i % 100 < 9 else good) for h in range(12) for i in range(200)]
+        rows += [("odd", bad if i % 100 < 40 else good) for i in range(400)]
+        prompts = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "prompt_id long, text string, host string")
+        found = {r.prompt_id: r for r in R.judge_prompts(prompts).collect()}
+        assert {rows[i][0] for i, r in found.items() if r.host_failed} == {"odd"}, rule
+        assert all(r.kept == (not r.base_failed and rows[i][0] != "odd") for i, r in found.items())
+
+
+def test_one_host_and_hosts_alike_do_not_stand_out(spark):
+    rows = [("only", "too short" if i % 2 else " ".join(f"w{j}" for j in range(30))) for i in range(60)]
+    alike = rows + [(f"like{h}", t) for h in range(5) for _, t in rows]
+    for some in (rows, alike):
+        prompts = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(some)], "prompt_id long, text string, host string")
+        assert not any(r.host_failed for r in R.judge_prompts(prompts).collect())
 
 
 def test_host_of_a_url(spark):
