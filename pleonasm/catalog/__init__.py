@@ -32,7 +32,7 @@ def query(*covers: str, sql: str | None = None):
         name = fn.__name__
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(name, covers, lambda spark, folder: fn(Tables(spark, folder)), sql, fn.__module__.rsplit(".", 1)[-1])
+        REGISTRY[name] = Query(name, covers, lambda spark, folder: fn(Tables(spark, folder, spread=True)), sql, fn.__module__.rsplit(".", 1)[-1])
         return fn
 
     return register

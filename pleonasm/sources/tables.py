@@ -8,18 +8,35 @@ from pyspark.sql import functions as F
 from pleonasm.session import without_call_sites
 
 
+def spread_small(table: DataFrame) -> DataFrame:
+    """`table` over as many partitions as the session has cores, if it has less than a file split for each of them.
+
+    Work on one text is heavy here, and a file of one row group is read by one task whatever its splits. Tables of more
+    than that come in enough splits and are not shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    split = table.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(table.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return table.repartition(cores) if int(str(size)) < split * cores else table
+
+
 class Tables:
-    """`tables.orders` reads `<folder>/orders.parquet`; nothing is read before an action runs."""
+    """`tables.orders` reads `<folder>/orders.parquet`; nothing is read before an action runs.
+
+    With `spread`, tables of less than a file split per core are dealt to all cores, as a small file is one task.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, spread: bool = False) -> None:
         without_call_sites()
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.spread = spread
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_small(table) if self.spread else table
 
     def derived(self, name: str) -> DataFrame:
         """An input built from a table by expressions both engines understand."""
