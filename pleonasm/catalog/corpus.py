@@ -8,7 +8,7 @@ from pleonasm import lexicons as L
 from pleonasm.catalog import query
 from pleonasm.catalog import sqltext as S
 from pleonasm.functions import text as T
-from pleonasm.operators import dedupe, rows, similarity
+from pleonasm.operators import dedupe, rows, similarity, sketches
 from pleonasm.plans.savings import keep_first_savings
 
 _SENT = f"sent AS ({S.rows('documents', 'doc_id', S.sentences('text'), 'sentence')})"
@@ -375,3 +375,19 @@ def approximate_corpus_profile(t):
         F.percentile_approx(size, 0.5).alias("median_tokens"),
         F.percentile_approx(size, 0.95).alias("p95_tokens"),
     )
+
+
+@query(
+    "F30",
+    sql=f"""WITH s AS ({S.rows('documents', 'doc_id, lang', S.sentences('text'), 'sentence')}), z AS (SELECT lang, sentence, {S.tokens('sentence')} AS size FROM s),
+    t AS (SELECT lang, size, count(*) AS n FROM z GROUP BY ALL), c AS (SELECT lang, size, sum(n) OVER (PARTITION BY lang ORDER BY size) AS upto, sum(n) OVER (PARTITION BY lang) AS total FROM t),
+    q AS (SELECT lang, min(size) FILTER (upto >= 0.5 * total) AS tokens_50, min(size) FILTER (upto >= 0.95 * total) AS tokens_95 FROM c GROUP BY lang)
+    SELECT lang, count(*) AS sentences, count(DISTINCT sentence) AS distinct_sentences, true AS within_bound, any_value(tokens_50) AS tokens_50, any_value(tokens_95) AS tokens_95 FROM z JOIN q USING (lang) GROUP BY lang""",
+)
+def sketched_corpus_profile(t):
+    """Languages from profiles by language and source, and whether their estimates are near the exact counts."""
+    sentences = rows.sentence_rows(t.documents, ["doc_id", "lang", "source"])
+    merged = sketches.merged_profiles(sketches.sentence_profiles(sentences, ["lang", "source"]), ["lang"])
+    exact = sentences.groupBy("lang").agg(F.count_distinct("sentence").alias("distinct_sentences"))
+    near = F.abs(F.col("about_distinct") - F.col("distinct_sentences")) <= sketches.BOUND * F.col("distinct_sentences")
+    return merged.join(exact, "lang").select("lang", "sentences", "distinct_sentences", near.alias("within_bound"), "tokens_50", "tokens_95")
