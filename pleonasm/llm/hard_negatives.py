@@ -225,12 +225,14 @@ def mine_hard_negatives(
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull() & finite)
     columns = [F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector")]
+    schema = T.StructType([T.StructField(n, T.IntegerType() if n == "rank" else T.LongType()) for n in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")])
     scratch = Scratch(spark, "negatives")
     chosen = rows.where(anchors).select(*columns).distinct()
-    blocks = max(1, -(-chosen.count() // block_anchors))
+    blocks = -(-chosen.count() // block_anchors)
+    if not blocks:
+        return spark.createDataFrame([], schema)
     scratch.write(chosen.withColumn("block", F.pmod(F.xxhash64("id", "label", "vector"), F.lit(blocks))).repartition(blocks, "block"), "anchors", "block")
     rows = rows.select(*columns)
-    schema = T.StructType([T.StructField(n, T.IntegerType() if n == "rank" else T.LongType()) for n in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")])
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     context = spark.sparkContext
     for number in range(blocks):
@@ -250,4 +252,4 @@ def mine_hard_negatives(
         ordered = packed.union(opening).repartitionAndSortWithinPartitions(tasks, lambda k: int.from_bytes(k[:4], "big"))
         mined = ordered.mapPartitions(lambda pairs, ids=ids: ((ids[a], *rest) for a, *rest in open_windows(pairs, low, high, negatives)))
         spark.createDataFrame(mined, schema).write.mode("append").parquet(scratch.path("mined"))
-    return spark.read.schema(schema).parquet(scratch.path("mined")) if blocks and scratch.exists("mined") else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(scratch.path("mined"))
