@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words, and ids of words, a Python worker remembers; when one is reached it starts anew.
-KNOWN_WORDS, KNOWN_IDS = 400_000, 8_000_000
+KNOWN_WORDS, KNOWN_IDS = 300_000, 6_000_000
 #: Bytes of text that are worked on at a time.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 NEVER = np.int64(1) << 40
+_NO_MERGE = (1 << 40, -1)
+SHORT_WORD = 40
+_HEAD = 4
 
 # How byte-level files cut a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,10 +74,12 @@ class Merges:
         self.left, self.right = np.arange(size), np.arange(size)
         self.born[made], self.left[made], self.right[made] = np.arange(len(made)), lefts, rights
         self.sound = self._sound(lefts, rights, made)
+        # By the first bytes of a token how long one gets that starts so.
         self.longest: dict[bytes, int] = {}
         for token in self.token_of:
-            head = token[:2]
-            self.longest[head] = max(self.longest.get(head, 1), len(token))
+            if len(token) >= _HEAD:
+                head = token[:_HEAD]
+                self.longest[head] = max(self.longest.get(head, 1), len(token))
 
     def _sound(self, lefts: np.ndarray, rights: np.ndarray, made: np.ndarray) -> np.ndarray:
         """Which tokens the merges really make out of their own bytes, so that a guess may use them.
@@ -128,17 +134,40 @@ class Merges:
         if whole is not None:
             return [whole]
         found, at, end = [], 0, len(word)
+        longest, token_of = self.longest.get, self.token_of.get
         while at < end:
-            step = min(self.longest.get(word[at : at + 2], 1), end - at)
-            while (token := self.token_of.get(word[at : at + step])) is None:
+            step = min(longest(word[at : at + _HEAD], _HEAD - 1), end - at)
+            while (token := token_of(word[at : at + step])) is None:
                 step -= 1
             found.append(token)
             at += step
         return found
 
     def merge(self, word: bytes) -> list[int]:
-        """Tokens of a word by the merges themselves, lowest rank first, the leftmost of equal ones first."""
+        """Tokens of a word by the merges themselves, lowest rank first, the leftmost of equal ones first.
+
+        Short words look at all their pairs every time, long ones keep the pairs in a heap.
+        """
         ids = [self.byte_id[b] for b in word]
+        return self._merge_short(ids) if len(ids) <= SHORT_WORD else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        merged, size = self.merged, self.size
+        found = [merged.get(a * size + b, _NO_MERGE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best is _NO_MERGE:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = merged.get(ids[i - 1] * size + ids[i], _NO_MERGE)
+            if i < len(found):
+                found[i] = merged.get(ids[i] * size + ids[i + 1], _NO_MERGE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         end = len(ids)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
         merged, size = self.merged, self.size
@@ -169,7 +198,7 @@ class Merges:
         """Ids of all words in a row, the number of ids of each, and how many words the guess failed for."""
         guesses = [self.guess(w) for w in words]
         lengths = np.fromiter(map(len, guesses), np.int64, len(guesses))
-        ids = np.fromiter((t for g in guesses for t in g), np.int64, int(lengths.sum()))
+        ids = np.fromiter(chain.from_iterable(guesses), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(guesses)), lengths)
         failed = np.zeros(len(guesses), bool)
         failed[owner[~self.sound[ids]]] = True
@@ -182,7 +211,7 @@ class Merges:
             for i in wrong:
                 guesses[i] = self.merge(words[i])
             lengths = np.fromiter(map(len, guesses), np.int64, len(guesses))
-            ids = np.fromiter((t for g in guesses for t in g), np.int64, int(lengths.sum()))
+            ids = np.fromiter(chain.from_iterable(guesses), np.int64, int(lengths.sum()))
         return ids, lengths, len(wrong)
 
 
@@ -252,7 +281,7 @@ class Coder:
             self._start()
         split = [self.split(t) for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        new = list(set(chain.from_iterable(split)).difference(known))
         if new:
             ids, lengths, _ = self.merges.encode_words([w.encode() for w in new])
             known.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
@@ -260,7 +289,7 @@ class Coder:
             self.lengths = np.concatenate([self.lengths, lengths])
             self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        slots = np.fromiter((known[w] for words in split for w in words), np.int64, int(counts.sum()))
+        slots = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         sizes = self.lengths[slots]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.cumsum(counts)
